@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefold.llm import chunking, percentiles, ranking
+from orefold.llm import chunking, mixing, percentiles, ranking
+from orefold.llm.tokenizer import encode_column
 from orefold.operators.snapshots import current_rows, untagged
 
 
@@ -81,7 +82,43 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return both.where(moved).select("metric_id", "target_kind", "snapshot_no", "pct")
 
 
+# 7: token ids
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_column(_t(spark, d, "documents"), ["doc_id"])
+
+
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and tokens per source as spelled."""
+    sized = encode_column(_t(spark, d, "documents"), ["source"], ids=False)
+    return sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
+
+
+# 8: a mix of sources
+
+
+def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    targets = _t(spark, d, "mix_targets")
+    sizes = mixing.size_documents(_t(spark, d, "documents"), targets)
+    return (sizes, *mixing.plan_mix(sizes, targets))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _plan(spark, d)[2].where("short").select("source")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _plan(spark, d)[2]
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    sizes, plan, _ = _plan(spark, d)
+    return mixing.select_documents(sizes, plan)
+
+
 QUERIES = {
+    "p7_ids": p7_ids, "p7_counts": p7_counts, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix,
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_ranking": p2_ranking,
     "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_overall": p4_overall,
 }
