@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def snapshot_changes(
     scope: str,
     snapshot: str,
     keys: Sequence[str],
-    content: Sequence[Column],
+    content: Sequence[Column] = (),
     number: str | None = None,
     delivered: str = "delivered_at",
 ) -> DataFrame:
@@ -67,8 +68,8 @@ def snapshot_changes(
 
     Both sides of every pair of snapshots are united, tagged by side, and grouped by key; a single
     aggregation shuffle finds the row delivered last on each side and compares the sides' row hashes
-    (128 bits over `content`). With `number`, sides whose hashes differ but whose finite numbers agree within
-    TOLERANCE are unchanged. Rows whose scope or snapshot isn't listed, or null, belong to no pair. A null key is a key like
+    (128 bits over `content`). With `number` the number is the content, its 64 bits are the hash, and sides whose
+    finite numbers agree within TOLERANCE are unchanged; two nulls or two NaNs are the same. Rows whose scope or snapshot isn't listed, or null, belong to no pair. A null key is a key like
     any other. Returned: scope, keys, snapshot (the later one) and change; extra columns of rows
     are ignored, an empty table gives no rows.
     """
@@ -78,22 +79,21 @@ def snapshot_changes(
         F.col(snapshot),
         *keys,
         _at(delivered).alias("__at"),
-        F.xxhash64(*content).alias("__h1"),
-        F.xxhash64(F.lit("second"), *content).alias("__h2"),
-        (F.col(number) if number else F.lit(None)).cast("double").alias("__v"),
+        *([F.col(number).cast("double").alias("__v")] if number else [F.xxhash64(*content).alias("__h1"), F.xxhash64(F.lit("second"), *content).alias("__h2")]),
     )
+    hashes = ["__v"] if number else ["__h1", "__h2"]
     tagged = (
         spread_join(narrow, snapshot_pairs(listing, scope, snapshot), [scope, snapshot])
         .withColumn("__s", F.explode("sides"))
-        .select(scope, *keys, "__at", "__h1", "__h2", "__v", F.col("__s.pair").alias("__pair"), F.col("__s.side").alias("__side"))
+        .select(scope, *keys, "__at", *hashes, F.col("__s.pair").alias("__pair"), F.col("__s.side").alias("__side"))
     )
     last = lambda c, n: F.max_by(c, F.when(F.col("__side") == n, F.col("__at")))
     sides = tagged.groupBy(scope, *keys, "__pair").agg(
         F.max("__side").alias("__new"),
         F.min("__side").alias("__old"),
-        *[last(c, n).alias(f"{c}_{n}") for n in (0, 1) for c in (("__h1", "__h2", "__v") if number else ("__h1", "__h2"))],
+        *[last(c, n).alias(f"{c}_{n}") for n in (0, 1) for c in hashes],
     )
-    same = (F.col("__h1_0") == F.col("__h1_1")) & (F.col("__h2_0") == F.col("__h2_1"))
+    same = reduce(lambda a, b: a & b, [F.col(f"{c}_0").eqNullSafe(F.col(f"{c}_1")) for c in hashes])
     if number:
         a, b = F.col("__v_0"), F.col("__v_1")
         finite = (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))

@@ -33,7 +33,7 @@ def _changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     listing = _t(spark, d, "manifest")
     metrics = snapshot_changes(
         _t(spark, d, "metrics").where(untagged()), listing, scope="project_key", snapshot="snapshot_no",
-        keys=["target_id", "metric_id"], content=[F.col("numeric_value")], number="numeric_value",
+        keys=["target_id", "metric_id"], number="numeric_value",
     )
     digits = F.lower(F.regexp_extract("text_hash", "([0-9A-Fa-f]{64})", 1))
     chunks = snapshot_changes(_t(spark, d, "chunks"), listing, scope="project_key", snapshot="snapshot_no", keys=["chunk_id"], content=[digits])
