@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefold.llm import chunking, mixing, percentiles, ranking
+from orefold.llm import chunking, mixing, percentiles, pii, ranking
 from orefold.llm.tokenizer import encode_column
 from orefold.operators.snapshots import current_rows, untagged
 
@@ -117,7 +117,19 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.select_documents(sizes, plan)
 
 
+# 9: personal information
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_items(_t(spark, d, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_documents(_t(spark, d, "documents"))
+
+
 QUERIES = {
+    "p9_found": p9_found, "p9_redacted": p9_redacted,
     "p7_ids": p7_ids, "p7_counts": p7_counts, "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix,
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_ranking": p2_ranking,
     "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p4_overall": p4_overall,
