@@ -178,12 +178,12 @@ def value_violations(rows: DataFrame) -> DataFrame:
     return joined.withColumn("problem", problem).where("problem IS NOT NULL").drop("__kinds", "__vk")
 
 
-def enriched(long: DataFrame) -> DataFrame:
-    """Long rows (metric_id, target..., value, tags) as observations: version, unit and value kind from the catalog."""
+def enriched(long: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Long rows (metric_id, target..., value, tags) as observations: version, unit and value kind from the catalog; `keep` stays."""
     catalog = F.broadcast(catalog_frame(long.sparkSession).select("metric_id", "metric_version", "unit", "value_kind"))
     rows = long.join(catalog, "metric_id")
     return rows.select(
-        F.lit(CONTRACT_VERSION).alias("schema_version"), "metric_id", "metric_version", "target_id", "target_kind", "target_id_stability", F.lit("number").alias("value_kind"),
+        *keep, F.lit(CONTRACT_VERSION).alias("schema_version"), "metric_id", "metric_version", "target_id", "target_kind", "target_id_stability", "value_kind",
         F.col("value").alias("numeric_value"), F.lit(None).cast("string").alias("string_value"), F.lit(None).cast("boolean").alias("bool_value"), "unit", "file_path",
         F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "tags",
     )
