@@ -88,7 +88,7 @@ def schema_changes(leaves: DataFrame, feed: str = "feed", seq: str = "file_seq")
 
     A rename pairs one field only in the earlier with one only in the later file of which more than half of the common
     records that have both hold the same value (type and text); each field is paired at most once, best share first,
-    then by name. A record that occurs more than once in a file counts with each of its values and is equal if one of them is.
+    then most equal records, then by name. A record that occurs more than once in a file counts with each of its values and is equal if one of them is.
     Feeds and files of null number are left out; files without a line that parses have no fields.
     Columns: feed, seq, change, field_before, field_after.
     """
@@ -122,13 +122,22 @@ def schema_changes(leaves: DataFrame, feed: str = "feed", seq: str = "file_seq")
     records = held(earlier, "field_before").join(held(later, "field_after"), [feed, "pair", "rec"])
     shares = (
         records.groupBy(feed, "pair", "field_before", "field_after")
-        .agg(F.avg(F.arrays_overlap("field_before_v", "field_after_v").cast("int")).alias("share"))
+        .agg(F.avg(F.arrays_overlap("field_before_v", "field_after_v").cast("int")).alias("share"), F.count_if(F.arrays_overlap("field_before_v", "field_after_v")).alias("same"))
         .where("share > 0.5")
     )
-    best = lambda one, other: F.row_number().over(Window.partitionBy(feed, "pair", one).orderBy(F.desc("share"), other))
-    renamed = (
-        shares.withColumn("a", best("field_before", "field_after")).withColumn("b", best("field_after", "field_before")).where("a = 1 AND b = 1").select(feed, "pair", F.lit("renamed").alias("change"), "field_before", "field_after")
-    )
+    kinds = {f.name: f.dataType.simpleString() for f in there.schema}
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one file, best first; their number is bounded by the fields of two files."""
+        used_before, used_after, kept = set(), set(), []
+        for r in pdf.sort_values(["share", "same", "field_before", "field_after"], ascending=[False, False, True, True]).itertuples(index=False):
+            if r.field_before not in used_before and r.field_after not in used_after:
+                used_before.add(r.field_before)
+                used_after.add(r.field_after)
+                kept.append((getattr(r, feed), r.pair, "renamed", r.field_before, r.field_after))
+        return pd.DataFrame(kept, columns=[feed, "pair", "change", "field_before", "field_after"])
+
+    renamed = shares.groupBy(feed, "pair").applyInPandas(match, f"`{feed}` {kinds[feed]}, pair {kinds[seq]}, change string, field_before string, field_after string")
     gone = renamed.select(feed, "pair", F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("field_before").alias("path")), F.struct(F.lit("added").alias("change"), F.col("field_after").alias("path")))).alias("x")).select(feed, "pair", "x.change", "x.path")
     rest = changed.join(gone, [feed, "pair", "change", "path"], "left_anti").select(
         feed,
