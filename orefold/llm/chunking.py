@@ -76,7 +76,7 @@ def _shared_from(t: _Text, cut: int, most: int) -> tuple[int, int]:
         lines = min(2, k)
         if t.units(t.starts[k - lines], cut) <= most:
             return t.starts[k - lines], lines
-    start = t.back(cut, INLINE_TOKENS * UNITS)
+    start = t.back(cut, min(INLINE_TOKENS * UNITS, most))
     if start in t.crlf:
         start += 1
     return start, 0

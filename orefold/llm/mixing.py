@@ -32,7 +32,8 @@ def fit_budget(lengths: dict[int, int], budget: int, max_repeats: int) -> tuple[
     if total == 0 or total * max_repeats <= budget:
         return max_repeats, {}
     rounds, left = divmod(max(budget, 0), total)
-    taken = {n: c * left // total for n, c in lengths.items() if n > 0}
+    bulk = max(0, left - WINDOW - max(lengths))
+    taken = {n: c * bulk // total for n, c in lengths.items() if n > 0}
     left -= sum(n * k for n, k in taken.items())
     for n in sorted(taken, reverse=True):
         k = min(lengths[n] - taken[n], max(0, left - WINDOW) // n)
