@@ -15,6 +15,7 @@ from orefold.operators.relational import union_all
 from orefold.plans import hotspots, reporting, scoring, validate
 from orefold.plans.facts import RUN, Facts, collect_facts
 from orefold.plans.metrics import all_metrics
+from orefold.runtime import materialize
 from orefold.sources import artifacts, trees
 
 
@@ -56,9 +57,9 @@ class Engine:
         started = time.time()
         reporting.check_output(out, path)
         facts = self.facts_of_tree(path, **options)
-        metrics = self.analyze(facts).cache()
+        metrics = materialize(self.analyze(facts), "metrics")
         best, ranks = self.rank(facts, metrics, top)
-        every = union_all([metrics, ranks])
+        every = materialize(union_all([metrics, ranks]), "observations")
         Path(out).resolve().parent.mkdir(parents=True, exist_ok=True)
         stage = tempfile.mkdtemp(prefix=".stage-", dir=Path(out).resolve().parent)
         try:
@@ -69,7 +70,6 @@ class Engine:
             reporting.publish(f"{stage}/run", out)
         finally:
             shutil.rmtree(stage, ignore_errors=True)
-            metrics.unpersist()
         return artifacts.read_document(self.spark, f"{out}/summary.json")
 
     def accepted(self, summary: dict, allow_degraded: bool = False) -> bool:

@@ -18,6 +18,7 @@ from orefold.frontend.lexer import duplication_tokens
 from orefold.functions import scalar as fn
 from orefold.operators import duplication
 from orefold.operators.relational import longest_prefix
+from orefold.runtime import materialize
 
 RUN = "run_id"
 
@@ -116,7 +117,7 @@ def collect_facts(spark: SparkSession, sources: DataFrame, projects: DataFrame |
     if projects is None:
         projects = spark.createDataFrame([], "project_path string")
     placed = assign_projects(sources.select(RUN, "file_path", "text"), projects, root_path)
-    parsed = parse_sources(placed)
+    parsed = materialize(parse_sources(placed), "parsed")  # every table below comes from it; files are lexed once
     files = parsed.select(
         RUN, F.lit(0).cast("bigint").alias("seq"), fn.file_id(F.col("file_path")).alias("target_id"), F.lit("syntax_fallback").alias("target_id_stability"), "project_key", "file_path",
         F.lit(1).alias("start_line"), F.col("lines.lines_of_code").alias("end_line"), "lines.*",
@@ -131,20 +132,20 @@ def collect_facts(spark: SparkSession, sources: DataFrame, projects: DataFrame |
         .withColumn("parent_type_target_id", fn.fallback_type_id(key, F.col("owner"), path))
         .withColumn("target_id", fn.fallback_member_id(key, F.col("owner"), F.col("name"), F.col("parameter_count"), path, F.col("start_line")))
     )
-    members = merge_members(raw_members.withColumn("span", span()))
-    types = merge_types(raw.withColumn("span", span()), members)
+    members = materialize(merge_members(raw_members.withColumn("span", span())), "members")
+    types = materialize(merge_types(raw.withColumn("span", span()), members), "types")
     namespaces = raw.groupBy(RUN, "project_key", "project_path", "namespace").agg(F.array_sort(F.collect_set("target_id")).alias("type_target_ids"), F.array_sort(F.collect_list(span())).alias("declarations"))
     namespaces = namespaces.select(RUN, fn.namespace_id(key, F.col("namespace")).alias("target_id"), "project_key", "project_path", F.when(F.col("namespace") == "", "(global)").otherwise(F.col("namespace")).alias("name"), "type_target_ids", "declarations")
     windows = duplication.token_windows(sources.select(F.concat_ws("\0", RUN, "file_path").alias("file"), "text"), "file", "text", duplication_tokens, min_tokens, min_lines)
     regions = duplication.with_tags(duplication.duplicated_regions(duplication.repeated_windows(windows, min_tokens), min_tokens))
     parts = F.split("file", "\0")
-    regions = regions.select(parts[0].alias(RUN), parts[1].alias("file_path"), "start_line", "end_line", "tag")
-    found = placed.select(RUN, "project_path").distinct().select(RUN, "project_path", F.lit(True).alias("analyzed"))
-    health = placed.select(RUN).distinct().select(
+    regions = materialize(regions.select(parts[0].alias(RUN), parts[1].alias("file_path"), "start_line", "end_line", "tag"), "regions")
+    found = parsed.select(RUN, "project_path").distinct().select(RUN, "project_path", F.lit(True).alias("analyzed"))
+    health = parsed.select(RUN).distinct().select(
         RUN, F.lit("syntax_only").alias("analysis_quality"), F.lit("none").alias("semantic_model"), F.lit("skipped").alias("restore_status"), F.lit("not_run").alias("build_status"),
         F.lit(False).alias("trusted_diagnostics"), F.lit(False).alias("diagnostics_included_in_hotspot_rank"), F.array().cast("array<string>").alias("messages"),
     )
-    return empty_facts(spark, files=files, types=types, members=members, namespaces=namespaces, projects=found, memberships=placed.select(RUN, "project_key", "file_path").distinct(), regions=regions, sources=sources.select(RUN, "file_path", "text"), health=health)
+    return empty_facts(spark, files=files, types=types, members=members, namespaces=namespaces, projects=found, memberships=parsed.select(RUN, "project_key", "file_path").distinct(), regions=regions, sources=sources.select(RUN, "file_path", "text"), health=health)
 
 
 def merge_members(rows: DataFrame) -> DataFrame:

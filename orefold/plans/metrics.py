@@ -241,8 +241,16 @@ def diagnostic_metrics(facts: Facts) -> DataFrame:
 
 
 def all_metrics(facts: Facts) -> DataFrame:
-    """Metric rows of every family but the ranking, with run_id and the columns of schemas.METRICS."""
-    parts = [syntax_metrics(facts), duplication_metrics(facts), graph_metrics(facts), semantic_metrics(facts), diagnostic_metrics(facts)]
+    """Metric rows of every family but the ranking, with run_id and the columns of schemas.METRICS.
+
+    Families that no run is trusted for aren't planned at all.
+    """
+    parts = [syntax_metrics(facts), duplication_metrics(facts)]
+    gate = facts.health.agg(F.bool_or(F.col("analysis_quality") == "trusted").alias("semantic"), F.bool_or("trusted_diagnostics").alias("diagnostics")).first()
+    if gate.semantic:
+        parts += [graph_metrics(facts), semantic_metrics(facts)]
+    if gate.diagnostics:
+        parts.append(diagnostic_metrics(facts))
     return observations(union_all(parts))
 
 
