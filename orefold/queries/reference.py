@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orefold.frontend.lexer import duplication_tokens
 from orefold.functions import scalar as fn
 from orefold.operators import duplication, graph, intervals
 from orefold.operators import relational as rel
+from orefold.plans import hotspots, reporting, validate
+from orefold.plans.facts import collect_facts, parse_sources
+from orefold.plans.metrics import all_metrics
+from orefold.runtime import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -487,3 +492,82 @@ def header_spans(spark, d):
     first = nodes.where("kind = 'type'").groupBy("run_id", "file_path").agg(F.min("start_line").alias("first"))
     end = F.least("end_line", F.greatest("start_line", F.coalesce("first", F.col("end_line") + 1) - 1))
     return files.join(first, ["run_id", "file_path"], "left").select("run_id", "id", end.alias("header_end"))
+
+
+# the C# front end over the documents that are C# sources; SQL can't lex, so tests compare with counts by hand
+
+
+def _csharp(spark, d):
+    docs = _t(spark, d, "documents").where("text IS NOT NULL")
+    key = F.lower(F.regexp_replace("source", r"[^\p{L}]", ""))
+    return docs.where(key == "sourcefiles").select(F.coalesce("project_key", F.lit("none")).alias("run_id"), F.format_string("%d.cs", "doc_id").alias("file_path"), "text")
+
+
+@query()
+def csharp_lines(spark, d):
+    parsed = parse_sources(_csharp(spark, d))
+    return parsed.select("run_id", "file_path", "lines.*")
+
+
+@query()
+def csharp_members(spark, d):
+    m = parse_sources(_csharp(spark, d)).select("run_id", "file_path", "types", F.explode("members").alias("m"))
+    return m.select("run_id", "file_path", F.col("types")[F.col("m.n")]["qualified"].alias("type"), "m.name", "m.kind", "m.start_line", "m.end_line", "m.parameter_count", "m.control_flow.*")
+
+
+@query()
+def csharp_duplication(spark, d):
+    windows = duplication.token_windows(_csharp(spark, d), "file_path", "text", duplication_tokens)
+    return duplication.duplicated_lines(duplication.duplicated_regions(duplication.repeated_windows(windows)))
+
+
+@query()
+def syntax_run_metrics(spark, d):
+    """Every metric of a syntax-only analysis of each project's C# documents, ranking included."""
+    facts = collect_facts(spark, _csharp(spark, d))
+    metrics = materialize(all_metrics(facts), "metrics")
+    ranked = hotspots.rank(hotspots.candidates(facts), metrics, facts.health)
+    return rel.union_all([metrics, hotspots.rank_metrics(ranked)]).select("run_id", "metric_id", "target_kind", "target_id", "numeric_value", F.array_join("tags", ",").alias("tags"))
+
+
+# validation over delivered runs
+
+
+def _nodes(spark, d):
+    return _t(spark, d, "graph_nodes").select("run_id", "id", "kind", "name", "target_id_stability", "file_path").distinct()
+
+
+@query("""WITH ids AS (SELECT DISTINCT run_id, id FROM graph_nodes), ends AS (SELECT run_id, from_id AS id FROM graph_edges UNION SELECT run_id, to_id FROM graph_edges)
+SELECT e.run_id, count(*) AS n FROM ends e WHERE e.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.run_id = e.run_id AND ids.id = e.id) GROUP BY 1""")
+def missing_edge_ends(spark, d):
+    found = validate.edge_violations(_t(spark, d, "graph_edges"), _nodes(spark, d)).where("rule = 'missing edge end'")
+    return found.groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH k AS (SELECT run_id, id, any_value(kind) AS kind, any_value(target_id_stability) AS s FROM graph_nodes GROUP BY 1, 2),
+m AS (SELECT DISTINCT run_id, target_id, target_kind, target_id_stability FROM metrics)
+SELECT m.run_id, CASE WHEN k.kind IS NULL THEN 'missing node' WHEN m.target_kind <> k.kind THEN 'target kind' ELSE 'target id stability' END AS rule, count(*) AS n
+FROM m LEFT JOIN k ON k.run_id = m.run_id AND k.id = m.target_id WHERE k.kind IS NULL OR m.target_kind <> k.kind OR m.target_id_stability <> k.s GROUP BY 1, 2""")
+def target_mismatches(spark, d):
+    found = validate.target_violations(_t(spark, d, "metrics"), _nodes(spark, d), "metrics")
+    return found.groupBy("run_id", "rule").agg(F.count("*").alias("n"))
+
+
+@query("""WITH k AS (SELECT run_id, target_id, metric_id, metric_version, coalesce(array_to_string(list_sort(tags), ','), '') AS t, count(*) AS n FROM metrics GROUP BY ALL)
+SELECT run_id, count(*) AS n FROM k WHERE n > 1 GROUP BY 1""")
+def duplicate_observations(spark, d):
+    m = _t(spark, d, "metrics").withColumn("t", F.array_join(F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))), ","))
+    return rel.duplicate_keys(m, ["run_id", "target_id", "metric_id", "metric_version", "t"]).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+# the wire form
+
+
+@query("SELECT file_path, start_line, end_line, target_id FROM metrics")
+def ndjson_round_trip(spark, d):
+    """Rows written as wire JSON and read back under the fixed schema."""
+    kept = ["target_id", "file_path", "start_line", "end_line"]
+    rows = _t(spark, d, "metrics").select(*kept)
+    text = reporting.wire(rows).select(F.to_json(F.struct("*")).alias("value"))
+    back = text.select(F.from_json("value", "targetId string, filePath string, startLine int, endLine int", {"mode": "FAILFAST"}).alias("v"))
+    return back.select(F.col("v.targetId").alias("target_id"), F.col("v.filePath").alias("file_path"), F.col("v.startLine").alias("start_line"), F.col("v.endLine").alias("end_line"))

@@ -142,7 +142,35 @@ FROM refs r LEFT JOIN span s ON s.id = r.target_id
 WHERE r.target_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = r.target_id AND n.snapshot_no = r.snapshot_no))
 """
 
+#: Objects three levels deep, as in these feeds; the greedy choice of renames is written as mutual best pairs, which is the same without conflicts.
+_P5 = r"""
+WITH ok AS (SELECT feed, file_seq, CASE WHEN json_valid(payload) THEN payload END AS j FROM (SELECT DISTINCT feed, file_seq, payload FROM artifact_lines)),
+rec AS (SELECT feed, file_seq, row_number() OVER () AS rid, j, coalesce(json_extract_string(j, '$.targetId'), '') || '|' || coalesce(json_extract_string(j, '$.metricId'), '') AS rec FROM ok WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),
+w AS (SELECT feed, file_seq, rid, rec, k1, json_extract(j, '$."' || k1 || '"') AS v1 FROM (SELECT *, unnest(json_keys(j)) AS k1 FROM rec)),
+x AS (SELECT feed, file_seq, rid, rec, k1 || '.' || k2 AS k, json_extract(v1, '$."' || k2 || '"') AS v FROM (SELECT *, unnest(json_keys(v1)) AS k2 FROM w WHERE json_type(v1) = 'OBJECT')
+      UNION ALL SELECT feed, file_seq, rid, rec, k1, v1 FROM w WHERE json_type(v1) <> 'OBJECT'),
+y AS (SELECT feed, file_seq, rid, rec, k || '.' || k3 AS k, json_extract(v, '$."' || k3 || '"') AS v FROM (SELECT *, unnest(json_keys(v)) AS k3 FROM x WHERE json_type(v) = 'OBJECT')
+      UNION ALL SELECT feed, file_seq, rid, rec, k, v FROM x WHERE json_type(v) <> 'OBJECT'),
+leaf AS (SELECT feed, file_seq, rec, k AS path, v::VARCHAR AS v, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS t FROM y WHERE json_type(v) <> 'NULL'),
+pairs AS (SELECT feed, file_seq AS b, lag(file_seq) OVER (PARTITION BY feed ORDER BY file_seq) AS a FROM (SELECT DISTINCT feed, file_seq FROM artifact_lines)),
+st AS (SELECT feed, file_seq, path, string_agg(DISTINCT t, ',' ORDER BY t) AS types FROM leaf GROUP BY 1, 2, 3),
+o AS (SELECT p.feed, p.b, s.path, s.types FROM pairs p JOIN st s ON s.feed = p.feed AND s.file_seq = p.a),
+n AS (SELECT p.feed, p.b, s.path, s.types FROM pairs p JOIN st s ON s.feed = p.feed AND s.file_seq = p.b WHERE p.a IS NOT NULL),
+d AS (SELECT coalesce(o.feed, n.feed) AS feed, coalesce(o.b, n.b) AS b, coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.types <> n.types THEN 'retyped' END AS change
+      FROM o FULL JOIN n ON o.feed = n.feed AND o.b = n.b AND o.path = n.path),
+lv AS (SELECT feed, file_seq, rec, path, list(DISTINCT t || v) AS vs FROM leaf GROUP BY 1, 2, 3, 4),
+m AS (SELECT r.feed, r.b, r.path AS x, q.path AS y, avg(list_has_any(lo.vs, ln.vs)::INT) AS share, sum(list_has_any(lo.vs, ln.vs)::INT) AS same
+      FROM d r JOIN pairs p ON p.feed = r.feed AND p.b = r.b JOIN d q ON q.feed = r.feed AND q.b = r.b AND q.change = 'added'
+      JOIN lv lo ON lo.feed = r.feed AND lo.file_seq = p.a AND lo.path = r.path JOIN lv ln ON ln.feed = r.feed AND ln.file_seq = p.b AND ln.path = q.path AND ln.rec = lo.rec
+      WHERE r.change = 'removed' GROUP BY 1, 2, 3, 4 HAVING share > 0.5),
+ren AS (SELECT feed, b, x, y FROM (SELECT *, row_number() OVER (PARTITION BY feed, b, x ORDER BY share DESC, same DESC, y) AS i, row_number() OVER (PARTITION BY feed, b, y ORDER BY share DESC, same DESC, x) AS k FROM m) WHERE i = 1 AND k = 1)
+SELECT feed, b AS file_seq, 'renamed' AS change, x AS field_before, y AS field_after FROM ren
+UNION ALL SELECT d.feed, d.b, change, CASE WHEN change = 'added' THEN '' ELSE path END, CASE WHEN change = 'removed' THEN '' ELSE path END FROM d
+WHERE change IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ren WHERE ren.feed = d.feed AND ren.b = d.b AND ((change = 'removed' AND ren.x = d.path) OR (change = 'added' AND ren.y = d.path)))
+"""
+
 SQL = {
+    "p5_found": _P5,
     "p3_found": _P3 + "SELECT artifact, record_id, snapshot_no, change FROM changes WHERE change IS NOT NULL",
     "p3_counts": _P3 + "SELECT artifact, project_key, snapshot_no, change, count(*) AS n FROM changes WHERE change IS NOT NULL GROUP BY 1, 2, 3, 4",
     "p6_found": _P6 + "SELECT ref_table, snapshot_no, target_id, state FROM found",

@@ -31,7 +31,7 @@ def test_globs(spark, pattern, path, hit):
 
 def test_scalar_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(fn.project_key(F.lit("ExpandedMetricsProject.csproj"))) == "688ae7c6b5a32359"
+    assert one(fn.project_key(F.lit("src/App.csproj"))) == "44386ef356d2e41b"
     assert one(fn.token_estimate(F.lit("a😀bc"))) == 2 and one(fn.token_estimate(F.lit(""))) == 0
     assert one(fn.line_range(F.lit("a\r\nb\nc"), F.lit(2), F.lit(9))) == "b\nc"
     assert one(fn.short_number(F.lit(0.25))) == "0.25" and one(fn.short_number(F.lit(1.0))) == "1" and one(fn.short_number(F.lit(23.0), 6)) == "23"
