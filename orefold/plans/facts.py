@@ -142,7 +142,7 @@ def collect_facts(spark: SparkSession, sources: DataFrame, projects: DataFrame |
     regions = materialize(regions.select(parts[0].alias(RUN), parts[1].alias("file_path"), "start_line", "end_line", "tag"), "regions")
     found = parsed.select(RUN, "project_path").distinct().select(RUN, "project_path", F.lit(True).alias("analyzed"))
     health = parsed.select(RUN).distinct().select(
-        RUN, F.lit("syntax_only").alias("analysis_quality"), F.lit("none").alias("semantic_model"), F.lit("skipped").alias("restore_status"), F.lit("not_run").alias("build_status"),
+        RUN, F.lit("syntax_only").alias("analysis_quality"), F.lit("none").alias("semantic_model"), F.lit("not_run").alias("restore_status"), F.lit("not_run").alias("build_status"),
         F.lit(False).alias("trusted_diagnostics"), F.lit(False).alias("diagnostics_included_in_hotspot_rank"), F.array().cast("array<string>").alias("messages"),
     )
     return empty_facts(spark, files=files, types=types, members=members, namespaces=namespaces, projects=found, memberships=parsed.select(RUN, "project_key", "file_path").distinct(), regions=regions, sources=sources.select(RUN, "file_path", "text"), health=health)

@@ -17,6 +17,8 @@ from orefold.operators.relational import union_all
 from orefold.plans.facts import RUN, Facts, project_memberships, unique_files
 
 FILES = ("summary.json", "metrics.ndjson", "graph.json", "chunks.ndjson", "diagnostics.ndjson", "manifest.json")
+#: Edges or diagnostics of one run that its artifacts hold; more are an error, never cut. A fixed value.
+MAX_RECORDS = 1_000_000
 KIND_ORDER = ("solution", "project", "namespace", "file", "type", "member")
 
 
@@ -155,8 +157,11 @@ def _single_file(df: DataFrame, path: Path, order: list[str]) -> None:
 def write_artifacts(out: str, run: str, facts: Facts, metrics: DataFrame, hotspots: DataFrame, options: dict | None = None, started: float | None = None, include_text: bool = False) -> None:
     """The six files of one run in a new folder, the manifest last."""
     folder = Path(out)
-    folder.mkdir(parents=True, exist_ok=False)
     of = lambda df: df.where(F.col(RUN) == run).drop(RUN)
+    for df, what in ((facts.edges, "edges"), (facts.diagnostics, "diagnostics")):
+        if of(df).limit(MAX_RECORDS + 1).count() > MAX_RECORDS:
+            raise ValueError(f"the run has more than {MAX_RECORDS} {what}")
+    folder.mkdir(parents=True, exist_ok=False)
     started = started or time.time()
     counts = of(summary(facts, metrics)).first()
     health = {camel(k): counts[k] for k in ("analysis_quality", "semantic_model", "restore_status", "build_status", "trusted_diagnostics", "diagnostics_included_in_hotspot_rank", "messages")}

@@ -12,7 +12,7 @@ from orefold import schemas
 from orefold.plans.reporting import _WIRE, camel
 
 #: Limits of one artifact. Fixed values.
-MAX_JSON, MAX_NDJSON, MAX_RECORDS = 128 << 20, 1 << 30, 1_000_000
+MAX_JSON, MAX_NDJSON = 128 << 20, 1 << 30
 
 
 def _wire_type(t: T.DataType) -> T.DataType:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orefold import cli, schemas
 from orefold.engine import Engine
 from orefold.operators.relational import union_all
-from orefold.plans import hotspots, reporting, scoring, validate
+from orefold.plans import diagnostics, hotspots, reporting, scoring, validate
 from orefold.plans.facts import RUN, collect_facts, empty_facts
 from orefold.plans.metrics import all_metrics
 
@@ -28,10 +28,10 @@ def trusted_facts(spark, health=HEALTH):
     pairs = ["AB", "BA", "AC", "BD", "CE", "DE"]
     edges = [(f"type:{a}", f"type:{b}", "uses_type", "exact") for a, b in pairs] + [("member:A", "type:C", "uses_type", "exact"), ("type:A", "type:A", "inherits", "exact"), ("type:A", "type:Gone", "inherits", "exact")]
     edges += [("member:A", "member:B", "calls", "exact"), ("member:B", "member:A", "calls", "exact"), ("member:C", "member:C", "calls", "exact"), ("member:C", "member:Gone", "calls", "exact")]
-    diagnostics = [(1, "CS8602", "warning", "m", "p.csproj", "A.cs", 2, 2, ["compiler", "nullable"]), (2, "CS0168", "warning", "m", "p.csproj", "A.cs", 10, 12, ["compiler"]), (3, "X1", "info", "m", None, None, None, None, None)]
+    found = [(1, "CS8602", "warning", "m", "p.csproj", "A.cs", 2, 2, ["compiler", "nullable"]), (2, "CS0168", "warning", "m", "p.csproj", "A.cs", 10, 12, ["compiler"]), (3, "X1", "info", "m", None, None, None, None, None)]
     return empty_facts(
         spark, files=df(files, schemas.FILES), types=df(types, schemas.TYPES), members=df(members, schemas.MEMBERS), namespaces=df(spaces, schemas.NAMESPACES), edges=df(edges, schemas.EDGES),
-        diagnostics=df(diagnostics, schemas.DIAGNOSTICS), projects=df([("p.csproj", True), ("q.csproj", True), ("r.csproj", False)], schemas.PROJECTS), project_deps=df([("p.csproj", "q.csproj"), ("p.csproj", "r.csproj")], schemas.PROJECT_DEPS),
+        diagnostics=df(found, schemas.DIAGNOSTICS), projects=df([("p.csproj", True), ("q.csproj", True), ("r.csproj", False)], schemas.PROJECTS), project_deps=df([("p.csproj", "q.csproj"), ("p.csproj", "r.csproj")], schemas.PROJECT_DEPS),
         memberships=df([(key, f"{x}.cs") for x in names], schemas.MEMBERSHIPS), regions=df([("A.cs", 1, 10, "duplication_block:000001"), ("A.cs", 8, 12, "duplication_block:000002")], schemas.REGIONS), health=df(health, schemas.HEALTH),
     )
 
@@ -211,3 +211,18 @@ def test_shared_files_and_nearest_projects(spark):
 def test_cli(capsys):
     assert cli.main(["list-metrics"]) == 0 and len(capsys.readouterr().out.splitlines()) == 66
     assert cli.main(["explain", "hotspot_rank@2.0.0"]) == 0 and cli.main(["explain", "nope"]) == 1
+
+
+def test_diagnostics_and_health(spark, rows):
+    ddl = f"{RUN} string, id string, severity string, message string, project_path string, file_path string, start_line int, end_line int, tags array<string>"
+    data = [
+        ("r", "CS8602", "Warning", "m", "p", "A.cs", 1, 1, None), ("r", "CS8602", "Warning", "m", "p", "A.cs", 1, 1, ["x"]), ("r", "CS0001", "Error", "m", "p", "A.ImplicitUsings.g.cs", 1, 1, None),
+        ("r", "CS0001", "Hidden", "m", "p", "Gone.cs", 1, 1, None), ("r", "IDE1", "Hidden", "m", None, None, None, None, None),
+    ]
+    out = diagnostics.normalise(spark.createDataFrame(data, ddl), spark.createDataFrame([("r", "A.cs"), ("r", "A.ImplicitUsings.g.cs")], f"{RUN} string, file_path string"))
+    assert sorted((r.id, r.severity, tuple(r.tags)) for r in out.collect()) == [("CS8602", "warning", ("compiler", "nullable", "x")), ("IDE1", "info", ("analyzer",))]
+    failures = spark.createDataFrame([("r", "failure", "P.csproj: build: text"), ("r", "failure", "P.csproj: bad"), ("r", "warning", "other")], f"{RUN} string, kind string, message string")
+    log = spark.createDataFrame([("r", "warning", "P.csproj", "text"), ("r", "warning", "P.csproj", "bad"), ("r", "error", "P.csproj", "bad")], f"{RUN} string, level string, project string, text string")
+    assert sorted((r.message, r.kind) for r in diagnostics.reclassify(failures, log).collect()) == [("P.csproj: bad", "failure"), ("P.csproj: build: text", "warning"), ("other", "warning")]
+    loads = spark.createDataFrame([("a", True, True, None, "msbuild", "success", []), ("b", True, False, None, "msbuild", "failed", []), ("c", False, False, "boom", "x", "x", []), ("d", False, False, None, "x", "x", [])], f"{RUN} string, used_semantic boolean, trust_diagnostics boolean, initialization_failure string, semantic_model string, restore_status string, messages array<string>")
+    assert [(r.analysis_quality, r.semantic_model, r.restore_status, r.trusted_diagnostics) for r in diagnostics.health(loads).sort(RUN).collect()] == [("trusted", "msbuild", "success", True), ("degraded", "msbuild", "failed", False), ("degraded", "not_available", "not_run", False), ("syntax_only", "none", "not_run", False)]
