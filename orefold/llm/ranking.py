@@ -17,8 +17,9 @@ def component_ranks(components: DataFrame, group: Sequence[str], value: str = "v
     ranked in) and value. Added: `below` (values smaller), `ties` (equal values, itself included), `total`
     (non-null values of the group) and `avg_rank` = below + (ties + 1) / 2; all null where the value is null.
     NaN ranks above all numbers. Ranks come from a distributed sort of the distinct values, so a group may be of any size; the
-    join back has one row on the right per distinct value.
+    join back has one row on the right per distinct value. Columns of components that have the added names are replaced.
     """
+    components = components.drop("below", "ties", "total", "avg_rank")
     counts = components.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("cnt"))
     ranks = sorted_runs(counts, group, value, "ranks").withColumnRenamed("cnt", "ties")
     joined = components.join(ranks, [*group, value], "left")

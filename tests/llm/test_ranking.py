@@ -34,7 +34,7 @@ def test_against_brute_force(spark):
     rng = random.Random(8)
     data = [(f"r{r}", rng.choice("ab"), f"i{r}{i}", m, rng.choice([None, 0.0, -1.0, 5.0, float(rng.randint(0, 9)) * 10**k]), rng.choice([0.3, 30.0, 1.0])) for r in range(3) for i in range(25) for k, m in enumerate(("x", "y", "z")) if rng.random() < 0.9]
     data = [(d[0], "a" if int(d[2][2:]) % 2 else "b", *d[2:]) for d in data]
-    ranked = component_ranks(spark.createDataFrame([(*d, None) for d in data], SCHEMA).drop("below"), ["run", "kind", "metric"])
+    ranked = component_ranks(spark.createDataFrame([(*d, None) for d in data], SCHEMA), ["run", "kind", "metric"])
     want = brute(data)
     out = borda_ranking(ranked, ["run"], "kind", "item", "metric").collect()
     assert {(r.run, r.kind, r.item): round(r.points, 9) for r in out} == pytest.approx(want)
@@ -46,7 +46,7 @@ def test_against_brute_force(spark):
 
 def test_range_rules_nothing_and_ecdf(spark):
     data = [("r", "k", "a", "small", 0.9, 1.0), ("r", "k", "b", "small", 0.1, 1.0), ("r", "k", "a", "huge", 1e12, 1.0), ("r", "k", "b", "huge", 2e12, 1.0), ("r", "k", "c", "small", None, 1.0), ("r", "k", "d", "small", -1.0, 1.0)]
-    df = spark.createDataFrame([(*d, None) for d in data], SCHEMA).drop("below")
+    df = spark.createDataFrame([(*d, None) for d in data], SCHEMA)
     ranked = component_ranks(df, ["run", "kind", "metric"])
     points = {r.item: r.points for r in borda_ranking(ranked, ["run"], "kind", "item", "metric").collect()}
     near = df.withColumn("value", F.when(F.col("metric") == "huge", F.col("value") / 1e12).otherwise(F.col("value")))
@@ -57,5 +57,5 @@ def test_range_rules_nothing_and_ecdf(spark):
 
 
 def test_empty(spark):
-    df = spark.createDataFrame([], SCHEMA).drop("below")
+    df = spark.createDataFrame([], SCHEMA)
     assert borda_ranking(component_ranks(df, ["run", "kind", "metric"]), ["run"], "kind", "item", "metric").collect() == []
