@@ -3,21 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets an interval is cut into at most; longer ones are matched by their keys alone.
+MOST_BUCKETS = 256
+
+
 def overlap_counts(targets: DataFrame, target_keys: Sequence[str], points: DataFrame, point_key: str, on: Sequence[str], width: int = 64) -> DataFrame:
     """For every target the number of distinct points' intervals that overlap any of its spans (closed, start..end), 0 if none.
 
     targets has one row per span. Both sides are cut into buckets of `width`, so that the join is an equi-join on (on, bucket) and a
-    long or crowded file is spread over many tasks; each pair is kept once per target. Intervals with a null end don't overlap.
+    long or crowded file is spread over many tasks; each pair is kept once per target. Intervals of more than MOST_BUCKETS buckets, which
+    real files hardly have, are joined on `on` instead. Intervals with a null end, or that end before they start, don't overlap.
     """
-    bucketed = lambda df: df.where("start IS NOT NULL AND `end` IS NOT NULL AND start <= `end`").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    spans = bucketed(targets.select(*target_keys, *[c for c in on if c not in target_keys], "start", "end"))
-    marks = bucketed(points.select(*on, point_key, "start", "end")).withColumnsRenamed({"start": "__s", "end": "__e"})
-    hits = spans.join(marks, [*on, "__b"]).where("start <= __e AND `end` >= __s").select(*target_keys, point_key).distinct()
+    valid = lambda df: df.where("start IS NOT NULL AND `end` IS NOT NULL AND start <= `end`")
+    bucketed = lambda df: df.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    spans = valid(targets.select(*target_keys, *[c for c in on if c not in target_keys], "start", "end"))
+    marks = valid(points.select(*on, point_key, "start", "end"))
+    long = F.floor(F.col("end") / width) - F.floor(F.col("start") / width) >= MOST_BUCKETS
+    renamed = lambda df: df.withColumnsRenamed({"start": "__s", "end": "__e"})
+    pairs = [
+        bucketed(spans.where(~long)).join(renamed(bucketed(marks.where(~long))), [*on, "__b"]),
+        spans.where(long).join(renamed(marks), list(on)),
+        spans.where(~long).join(renamed(marks.where(long)), list(on)),
+    ]
+    hits = reduce(DataFrame.unionByName, [p.where("start <= __e AND `end` >= __s").select(*target_keys, point_key) for p in pairs]).distinct()
     counted = hits.groupBy(*target_keys).agg(F.count("*").alias("n"))
     return targets.select(*target_keys).distinct().join(counted, list(target_keys), "left").na.fill(0, ["n"])
 

@@ -85,10 +85,11 @@ def test_value_violations(spark, rows):
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(2)
     spans = [(f"t{rng.randint(0, 9)}", rng.choice("fg"), a := rng.randint(1, 400), a + rng.randint(0, 200)) for _ in range(40)]
-    marks = [(i, rng.choice("fg"), a := rng.randint(1, 400), a + rng.randint(0, 90)) for i in range(60)] + [(99, "f", None, None)]
+    marks = [(i, rng.choice("fg"), a := rng.randint(1, 400), a + rng.randint(0, 90)) for i in range(60)] + [(99, "f", None, None), (98, "f", 5, 2_000_000_000), (97, "g", 300, 100)]
+    spans += [("t1", "g", 1, 2_000_000_000), ("t9", "f", 7, 3)]
     out = intervals.overlap_counts(spark.createDataFrame(spans, "t string, f string, start int, end int"), ["t"], spark.createDataFrame(marks, "m int, f string, start int, end int"), "m", ["f"])
     for r in out.collect():
-        want = {m for m, f, a, b in marks if a is not None and any(t == r.t and g == f and a <= e and b >= s for t, g, s, e in spans)}
+        want = {m for m, f, a, b in marks if a is not None and a <= b and any(t == r.t and g == f and s <= e and a <= e and b >= s for t, g, s, e in spans)}
         assert r.n == len(want)
 
 
