@@ -136,7 +136,7 @@ QUERIES = {
 }
 
 _CURRENT = """
-cur AS (SELECT metric_id, target_kind, snapshot_no, v FROM (
+cur AS (SELECT metric_id, target_kind, snapshot_no, v + 0.0::DOUBLE AS v FROM (  -- -0.0 counts as 0.0
   SELECT target_id, metric_id, snapshot_no, any_value(target_kind) AS target_kind, any_value(numeric_value) AS v
   FROM (SELECT *, rank() OVER (PARTITION BY target_id, metric_id, snapshot_no ORDER BY delivered_at DESC) AS r FROM metrics WHERE coalesce(len(tags), 0) = 0)
   WHERE r = 1 GROUP BY 1, 2, 3) WHERE v IS NOT NULL AND isfinite(v))"""
