@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orefold.runtime import materialize
+
 LEAVES_SCHEMA = "ok boolean, rec string, leaves map<string,struct<t:string,v:string>>"
 
 
@@ -106,7 +108,8 @@ def schema_changes(leaves: DataFrame, feed: str = "feed", seq: str = "file_seq")
         .where(F.col("pair") > F.col("__first"))
     )
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "retyped")
-    changed = compared.select(feed, "pair", "path", change.alias("change")).where("change IS NOT NULL")
+    # a few rows per file, read by every branch below
+    changed = materialize(compared.select(feed, "pair", "path", change.alias("change")).where("change IS NOT NULL"), "changes")
 
     # records of the two files, only for fields that are on one side and only where both kinds of them exist
     lonely = changed.where(F.col("change") != "retyped")
