@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +62,25 @@ def load_leaves(lines: DataFrame, record_keys: Sequence[str], payload: str = "pa
     kept = [c for c in lines.columns if c not in ("ok", "rec", "leaves")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema if f.name in kept) + ", " + LEAVES_SCHEMA
     keys = list(record_keys)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parsed = [parse_line(x, keys) for x in pdf[payload]]
-            yield pdf.assign(
-                ok=[p[0] for p in parsed],
-                rec=[p[1] for p in parsed],
-                leaves=[{k: {"t": t, "v": v} for k, (t, v) in p[2].items()} for p in parsed],
-            )
-
-    return lines.select(*kept).mapInPandas(read, schema)
+    item = pa.struct([("t", pa.string()), ("v", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok, recs, offsets, paths, kinds, values = [], [], [0], [], [], []
+            for line in batch.column(batch.schema.get_field_index(payload)).to_pylist():
+                parsed, rec, leaves = parse_line(line, keys)
+                ok.append(parsed)
+                recs.append(rec)
+                for path, (kind, value) in leaves.items():
+                    paths.append(path)
+                    kinds.append(kind)
+                    values.append(value)
+                offsets.append(len(paths))
+            cells = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], fields=list(item))
+            maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(paths, pa.string()), cells)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_()), pa.array(recs, pa.string()), maps], names=[*kept, "ok", "rec", "leaves"])
+
+    return lines.select(*kept).mapInArrow(read, schema)
 
 
 def field_stats(leaves: DataFrame, file_keys: Sequence[str]) -> DataFrame:
@@ -128,6 +137,10 @@ def schema_changes(leaves: DataFrame, feed: str = "feed", seq: str = "file_seq")
         .agg(F.avg(F.arrays_overlap("field_before_v", "field_after_v").cast("int")).alias("share"), F.count_if(F.arrays_overlap("field_before_v", "field_after_v")).alias("same"))
         .where("share > 0.5")
     )
+    # pairs without a rival are taken as they are; only fields with several partners are matched one by one
+    of = lambda c: F.count("*").over(Window.partitionBy(feed, "pair", c))
+    shares = materialize(shares.withColumn("rivals", of("field_before") + of("field_after") - 2), "shares")
+    clear = shares.where("rivals = 0").select(feed, "pair", F.lit("renamed").alias("change"), "field_before", "field_after")
     kinds = {f.name: f.dataType.simpleString() for f in there.schema}
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +153,8 @@ def schema_changes(leaves: DataFrame, feed: str = "feed", seq: str = "file_seq")
                 kept.append((getattr(r, feed), r.pair, "renamed", r.field_before, r.field_after))
         return pd.DataFrame(kept, columns=[feed, "pair", "change", "field_before", "field_after"])
 
-    renamed = shares.groupBy(feed, "pair").applyInPandas(match, f"`{feed}` {kinds[feed]}, pair {kinds[seq]}, change string, field_before string, field_after string")
+    matched = shares.where("rivals > 0").groupBy(feed, "pair").applyInPandas(match, f"`{feed}` {kinds[feed]}, pair {kinds[seq]}, change string, field_before string, field_after string")
+    renamed = clear.unionByName(matched)
     gone = renamed.select(feed, "pair", F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("field_before").alias("path")), F.struct(F.lit("added").alias("change"), F.col("field_after").alias("path")))).alias("x")).select(feed, "pair", "x.change", "x.path")
     rest = changed.join(gone, [feed, "pair", "change", "path"], "left_anti").select(
         feed,
