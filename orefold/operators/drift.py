@@ -166,19 +166,70 @@ def schema_changes(leaves: DataFrame, feed: str = "feed", seq: str = "file_seq")
     return rest.unionByName(renamed).withColumnRenamed("pair", seq)
 
 
-def project_typed(leaves: DataFrame, columns: Mapping[str, str], aliases: Mapping[str, Sequence[str]], file_keys: Sequence[str]) -> DataFrame:
+def spellings(columns: Sequence[str], *evidence: Sequence[tuple[str, str, int]]) -> dict[str, list[str]]:
+    """Other spellings of each column, from renames (one name, other name, weight); earlier lists of evidence go before later ones.
+
+    Names that renames connect are one field, whatever their direction. The heaviest renames connect first, and one that would
+    make two columns the same field is passed over. Spellings nearest in that order come first; fields without a column have no entry.
+    """
+    root: dict[str, str] = {}
+    members: dict[str, list[str]] = {}
+
+    def find(x: str) -> str:
+        if x not in root:
+            root[x], members[x] = x, [x]
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for c in columns:
+        find(c)
+    for renames in evidence:
+        for a, b, _ in sorted(renames, key=lambda r: (-r[2], r[0], r[1])):
+            x, y = find(a), find(b)
+            if x == y or (x in columns and y in columns):
+                continue
+            x, y = (y, x) if y in columns or (x not in columns and y < x) else (x, y)
+            root[y] = x  # a column stays the root of its field
+            members[x] += members.pop(y)
+    return {c: members[c][1:] for c in columns if len(members[c]) > 1}
+
+
+def feed_spellings(leaves: DataFrame, changes: DataFrame, columns: Sequence[str], feed: str = "feed") -> DataFrame:
+    """For each feed of leaves the `names` its columns go by: those of its own renames in changes first, then those of all these feeds.
+
+    A feed may have had a spelling from its first file on, or changed name and type at once, so that only other feeds tell the rename.
+    The distinct pairs of names are collected; field names are few, however many the files.
+    """
+    feeds = leaves.select(feed).distinct()
+    renames = changes.where("change = 'renamed'").join(feeds, feed, "left_semi").groupBy(feed, "field_before", "field_after").agg(F.count("*").alias("n"))
+    renames = materialize(renames, "renames")
+    everywhere = [tuple(r) for r in renames.groupBy("field_before", "field_after").agg(F.sum("n")).collect()]
+    wanted = list(columns)
+    solve = F.udf(lambda own: spellings(wanted, [(r.a, r.b, r.n) for r in own or []], everywhere), "map<string,array<string>>")
+    own = renames.groupBy(feed).agg(F.collect_list(F.struct(F.col("field_before").alias("a"), F.col("field_after").alias("b"), "n")).alias("own"))
+    return feeds.join(own, feed, "left").select(feed, solve("own").alias("names"))
+
+
+def project_typed(leaves: DataFrame, columns: Mapping[str, str], aliases: Mapping[str, Sequence[str]] | str, file_keys: Sequence[str]) -> DataFrame:
     """One consistent table: a typed column per canonical field, from the field itself or the first alias that is present.
 
-    Casts that fail leave null and name the field in `failed_casts`; fields that belong to no column stay in `extra`
+    aliases is one mapping for all lines or the name of a column that holds it (map<string,array<string>>).
+    Casts that fail leave null and name the field in `failed_casts`; fields that no column took stay in `extra`
     as a map of raw texts. Lines that don't parse are left out (load_leaves reports them).
     """
-    known = {c: [c, *aliases.get(c, ())] for c in columns}
-    leaf = {c: F.coalesce(*[F.try_element_at("leaves", F.lit(p)) for p in paths]) for c, paths in known.items()}
+    if isinstance(aliases, str):
+        others = lambda c: F.coalesce(F.try_element_at(aliases, F.lit(c)), F.array().cast("array<string>"))
+    else:
+        others = lambda c: F.array(*[F.lit(p) for p in aliases.get(c, ())]).cast("array<string>")
+    first = lambda c: F.filter(F.concat(F.array(F.lit(c)), others(c)), lambda p: F.map_contains_key("leaves", p))
+    found = leaves.where("ok").select(*file_keys, "leaves", F.array(*[F.try_element_at(first(c), F.lit(1)) for c in columns]).alias("__taken"))
+    leaf = {c: F.try_element_at("leaves", F.col("__taken")[i]) for i, c in enumerate(columns)}
     cast = {}
     for c, kind in columns.items():
         text = leaf[c]["v"]
         cast[c] = F.from_json(text, "array<string>") if kind == "array<string>" else text.try_cast(kind)
     failed = F.array_compact(F.array(*[F.when(leaf[c]["v"].isNotNull() & cast[c].isNull(), F.lit(c)) for c in columns]))
-    taken = F.array(*[F.lit(p) for paths in known.values() for p in paths])
+    taken = F.array_compact("__taken")
     extra = F.transform_values(F.map_filter("leaves", lambda k, _: ~F.array_contains(taken, k)), lambda _, v: v["v"])
-    return leaves.where("ok").select(*file_keys, *[cast[c].alias(c.replace(".", "_")) for c in columns], failed.alias("failed_casts"), extra.alias("extra"))
+    return found.select(*file_keys, *[cast[c].alias(c.replace(".", "_")) for c in columns], failed.alias("failed_casts"), extra.alias("extra"))

@@ -12,17 +12,20 @@ from orefold.operators.snapshots import snapshot_changes, untagged
 RECORD_KEYS = ("targetId", "metricId")
 REF_TABLES = ("graph_edges", "metrics", "chunks")
 
-#: The consistent table of metric lines, and the names its fields have had in some files. Fixed values.
+#: The consistent table of all lines: the fields of the wire schemas by artifact. Their other spellings come from the renames in the files.
 METRIC_COLUMNS = {
     "schemaVersion": "string", "metricId": "string", "metricVersion": "string", "targetId": "string", "targetKind": "string",
     "targetIdStability": "string", "valueKind": "string", "numericValue": "double", "unit": "string", "filePath": "string",
     "startLine": "int", "endLine": "int", "tags": "array<string>",
 }
-METRIC_ALIASES = {
-    "metricVersion": ["metric_version", "formulaVersion"], "targetKind": ["target.kind", "kind"], "targetIdStability": ["idStability", "stability"],
-    "numericValue": ["numeric_value", "value", "result.number"], "unit": ["unitName", "measureUnit"], "filePath": ["sourceFile", "path", "location.filePath"],
-    "startLine": ["beginLine", "line_start", "location.startLine"],
+MANIFEST_COLUMNS = {
+    "schemaVersion": "string", "tool": "string", "toolVersion": "string", "rootPath": "string", "startedAt": "timestamp", "completedAt": "timestamp",
+    "durationMs": "bigint", "mode": "string", "input.kind": "string", "input.selectedPath": "string", "input.sourcePopulationSha256": "string",
+    "input.options.includeGeneratedCode": "boolean", "input.options.includeChunkText": "boolean", "input.options.syntaxOnly": "boolean",
+    "input.options.noRestore": "boolean", "input.options.isolateInput": "boolean", "input.options.top": "int", "artifacts.summary": "string",
+    "artifacts.metrics": "string", "artifacts.graph": "string", "artifacts.chunks": "string", "artifacts.diagnostics": "string",
 }
+ARTIFACT_COLUMNS = {"metrics.ndjson": METRIC_COLUMNS, "manifest.json": MANIFEST_COLUMNS}
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -64,16 +67,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(_leaves(spark, d))
 
 
+def _typed(leaves: DataFrame, file_keys: list[str]) -> DataFrame:
+    """The lines of both artifacts as one table; columns of the other artifact are null."""
+    changes = drift.schema_changes(leaves)
+    parts = []
+    for artifact, columns in ARTIFACT_COLUMNS.items():
+        lines = leaves.where(F.col("artifact") == artifact)
+        names = drift.feed_spellings(lines, changes, list(columns)).withColumnRenamed("feed", "__feed")
+        named = lines.join(names, F.col("feed").eqNullSafe(F.col("__feed")), "left")
+        parts.append(drift.project_typed(named, columns, "names", ["artifact", *file_keys]))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """All metric records of all files as one typed table; repeated lines come out once."""
-    rows = drift.project_typed(_leaves(spark, d).where("artifact = 'metrics.ndjson'"), METRIC_COLUMNS, METRIC_ALIASES, ["feed", "file_seq", "line_no"])
+    """All records of all files as one typed table; repeated lines come out once."""
+    rows = _typed(_leaves(spark, d), ["feed", "file_seq", "line_no"])
     flat = rows.withColumn("tags", F.array_join(F.array_sort("tags"), ",")).withColumn("failed_casts", F.array_join("failed_casts", ","))
     return flat.withColumn("extra", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("extra"))))).distinct()
 
 
 def p5_casts(spark: SparkSession, d: str) -> DataFrame:
     """Failed casts per feed, file and field."""
-    rows = drift.project_typed(_leaves(spark, d).where("artifact = 'metrics.ndjson'"), METRIC_COLUMNS, METRIC_ALIASES, ["feed", "file_seq"])
+    rows = _typed(_leaves(spark, d), ["feed", "file_seq"])
     return rows.select("feed", "file_seq", F.explode("failed_casts").alias("field")).groupBy("feed", "file_seq", "field").agg(F.count("*").alias("n"))
 
 

@@ -1,6 +1,7 @@
 import json
 
-from orefold.operators.drift import load_leaves, parse_line, project_typed, schema_changes
+from orefold.operators.drift import load_leaves, parse_line, project_typed, schema_changes, spellings
+from orefold.queries import training
 
 KEYS = ("targetId", "metricId")
 
@@ -60,3 +61,26 @@ def test_typed_projection_reports_failed_casts(spark):
     out = sorted(project_typed(df, cols, {"startLine": ["line_start"]}, ["feed"]).collect())
     assert [(r.targetId, r.numericValue, r.startLine, r.tags, r.failed_casts) for r in out] == [("a", None, 12, None, ["numericValue"]), ("b", 2.5, 7, ["q"], [])]
     assert out[0].extra == {"metricId": "m", "extra.p": "1"}
+
+
+def test_spellings_never_join_two_columns():
+    assert spellings(["a", "b"], [("a", "x", 3), ("x", "b", 2), ("x", "y", 1), ("p", "q", 9)]) == {"a": ["x", "y"]}
+    assert spellings(["a", "b"], [("x", "b", 1)], [("a", "x", 9), ("a", "z", 1)]) == {"b": ["x"], "a": ["z"]}  # a feed's own renames go first
+
+
+def test_table_of_both_artifacts_with_spellings_of_these_files(spark, tmp_path):
+    metric, manifest = "metrics.ndjson", "manifest.json"
+    files = {
+        ("f", metric, 1): [rec(t, numericValue=v, unit="u") for t, v in (("a", 1.5), ("b", 2.5))],
+        ("f", metric, 2): [rec(t, amount=v, unit="u") for t, v in (("a", 1.5), ("b", 2.5))],
+        ("g", metric, 1): [rec("c", amount="3.5", unit="u", path="p")],  # only the other feed tells this spelling
+        ("m", manifest, 1): [{"rootPath": "/r", "input": {"kind": "solution"}, "durationMs": "x", "amount": 4}],
+        ("m", manifest, 2): [{"base": {"dir": "/r"}, "inputType": "solution", "durationMs": 7, "amount": 4}],
+    }
+    data = [(f, a, s, n, json.dumps(p)) for (f, a, s), payloads in files.items() for n, p in enumerate(payloads)]
+    spark.createDataFrame(data, "feed string, artifact string, file_seq int, line_no int, payload string").write.parquet(str(tmp_path / "artifact_lines.parquet"))
+    out = sorted(training.p5_table(spark, str(tmp_path)).collect(), key=lambda r: (r.feed, r.file_seq, r.line_no))
+    assert [(r.feed, r.file_seq, r.numericValue) for r in out if r.artifact == metric] == [("f", 1, 1.5), ("f", 1, 2.5), ("f", 2, 1.5), ("f", 2, 2.5), ("g", 1, 3.5)]
+    assert [(r.file_seq, r.rootPath, r.input_kind, r.durationMs, r.extra) for r in out if r.artifact == manifest] == [(1, "/r", "solution", None, '{"amount":"4"}'), (2, "/r", "solution", 7, '{"amount":"4"}')]
+    assert json.loads(out[4].extra) == {"path": "p"}
+    assert [tuple(r) for r in training.p5_casts(spark, str(tmp_path)).collect()] == [("m", 1, "durationMs", 1)]
