@@ -145,11 +145,11 @@ def longest_prefix(paths: DataFrame, path: str, prefixes: DataFrame, prefix: str
     return paths.join(best, path, "left")
 
 
-def threshold_debt(values: DataFrame, limits: DataFrame, target: str = "target_id", metric: str = "metric_id", value: str = "value") -> DataFrame:
-    """One row: gap_sum, squared_gap_sum, violating_targets and max_target_gap of the targets' weighted excess over the limits (metric, maximum, weight)."""
-    gaps = values.join(limits, metric).select(target, (F.greatest(F.lit(0.0), F.col(value) - F.col("maximum")) * F.col("weight")).alias("gap"))
-    per_target = gaps.groupBy(target).agg(F.sum("gap").alias("gap"))
-    return per_target.agg(
+def threshold_debt(values: DataFrame, limits: DataFrame, target: str = "target_id", metric: str = "metric_id", value: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per group of `by`: gap_sum, squared_gap_sum, violating_targets and max_target_gap of the targets' weighted excess over the limits (metric, maximum, weight)."""
+    gaps = values.join(limits, metric).select(*by, target, (F.greatest(F.lit(0.0), F.col(value) - F.col("maximum")) * F.col("weight")).alias("gap"))
+    per_target = gaps.groupBy(*by, target).agg(F.sum("gap").alias("gap"))
+    return per_target.groupBy(*by).agg(
         F.coalesce(F.sum("gap"), F.lit(0.0)).alias("gap_sum"),
         F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)).alias("squared_gap_sum"),
         F.count_if(F.col("gap") > 0).alias("violating_targets"),

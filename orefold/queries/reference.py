@@ -415,11 +415,22 @@ g AS (SELECT target_id, sum(greatest(0.0::DOUBLE, numeric_value - maximum) * wei
 r AS (SELECT sum(gap) AS gap_sum, sum(gap * gap) AS squared_gap_sum, count(*) FILTER (gap > 0) AS violating_targets, max(gap) AS max_target_gap FROM g)"""
 
 
-def _debt(spark, d):
+#: The debt of every snapshot over all finite values; _DEBT_SQL is that of whole values in snapshot 5 alone.
+_DEBTS_SQL = """WITH lim(metric_id, maximum, weight) AS (VALUES ('cyclomatic_complexity', 10.0::DOUBLE, 2.0::DOUBLE), ('member_length', 60.0::DOUBLE, 1.0::DOUBLE)),
+g AS (SELECT snapshot_no, target_id, sum(greatest(0.0::DOUBLE, numeric_value - maximum) * weight) AS gap FROM (SELECT DISTINCT target_id, metric_id, snapshot_no, numeric_value FROM metrics WHERE coalesce(len(tags), 0) = 0 AND isfinite(numeric_value)) m JOIN lim ON lim.metric_id = m.metric_id GROUP BY 1, 2),
+r AS (SELECT snapshot_no, sum(gap) AS gap_sum, sum(gap * gap) AS squared_gap_sum, count(*) FILTER (gap > 0) AS violating_targets, max(gap) AS max_target_gap FROM g GROUP BY 1)"""
+
+
+def _debts(spark, d, which=None):
     limits = F.broadcast(spark.createDataFrame([("cyclomatic_complexity", 10.0, 2.0), ("member_length", 60.0, 1.0)], "metric_id string, maximum double, weight double"))  # two rows
     v = F.col("numeric_value")
-    rows = _t(spark, d, "metrics").where((F.col("snapshot_no") == 5) & (F.coalesce(F.size("tags"), F.lit(0)) <= 0) & fn.is_finite(v) & ~F.isnan(v) & (v % 1 == 0)).select("target_id", "metric_id", v.alias("value")).distinct()
-    return rel.threshold_debt(rows, limits)
+    rows = _t(spark, d, "metrics").where((F.coalesce(F.size("tags"), F.lit(0)) <= 0) & fn.is_finite(v) & ~F.isnan(v))
+    rows = rows if which is None else rows.where(which)
+    return rel.threshold_debt(rows.select("snapshot_no", "target_id", "metric_id", v.alias("value")).distinct(), limits, by=["snapshot_no"] if which is None else [])
+
+
+def _debt(spark, d):
+    return _debts(spark, d, (F.col("snapshot_no") == 5) & (F.col("numeric_value") % 1 == 0))
 
 
 @query(_DEBT_SQL + " SELECT * FROM r")
@@ -432,6 +443,16 @@ def weighted_score(spark, d):
     return _debt(spark, d).select((F.col("gap_sum") + F.col("squared_gap_sum") * 0.001).alias("score"))
 
 
+@query(_DEBTS_SQL + " SELECT * FROM r")
+def threshold_debt_by_snapshot(spark, d):
+    return _debts(spark, d)
+
+
+@query(_DEBTS_SQL + " SELECT snapshot_no, gap_sum + 0.001::DOUBLE * squared_gap_sum AS score FROM r")
+def weighted_score_by_snapshot(spark, d):
+    return _debts(spark, d).select("snapshot_no", (F.col("gap_sum") + F.col("squared_gap_sum") * 0.001).alias("score"))
+
+
 # sets, unions, modes, json
 
 
