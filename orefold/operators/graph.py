@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefold.runtime import materialize
+from orefold.runtime import discard, materialize, sorted_runs
 
 #: Edges a single task takes; the contract's ceiling for one run's graph. Larger graphs are solved by the whole cluster.
 TASK_EDGES = 1_000_000
 #: Bytes for one block of reachability bits.
 BLOCK_BYTES = 64 << 20
+#: Rows (component, word of 64 targets) that one block of the distributed reachability may have.
+BLOCK_ROWS = 64_000_000
 
 
 def components(n: int, out: list[list[int]]) -> tuple[list[int], int]:
@@ -116,8 +118,9 @@ def graph_measures(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], node
     """Per graph (keys) and node: component (its smallest node), cyclic_size, reachable and dependents.
 
     One task solves one graph of up to TASK_EDGES distinct edges. Larger graphs, if there are any, get their components from
-    distributed_components and have null reachable and dependents, since those are quadratic. Edges with a null end are left out; nodes without
-    edges have themselves as component, size 0 and nothing reachable.
+    distributed_components and the counts from distributed_reach, with the same results; the counts' work is quadratic in the components.
+    Without reach, reachable and dependents are null. Edges with a null end are left out; nodes without edges have themselves as component,
+    size 0 and nothing reachable.
     """
     pairs = edges.select(*keys, F.col(source).alias("s"), F.col(target).alias("t")).where("s IS NOT NULL AND t IS NOT NULL").distinct()
     pairs = materialize(pairs, "edges")
@@ -145,7 +148,12 @@ def graph_measures(edges: DataFrame, nodes: DataFrame, keys: Sequence[str], node
     lonely = alone.select(*keys, F.col("s").alias("node"), F.col("s").alias("component"), F.lit(0).cast("bigint").alias("cyclic_size"), zero.alias("reachable"), zero.alias("dependents"))
     out = found.unionByName(lonely)
     if has_large:
-        out = out.unionByName(distributed_components(big, big_nodes, keys).select(*keys, "node", "component", "cyclic_size", F.lit(None).cast("bigint").alias("reachable"), F.lit(None).cast("bigint").alias("dependents")))
+        solved = materialize(distributed_components(big, big_nodes, keys), "components")
+        if reach:
+            solved = distributed_reach(big, solved, keys)
+        else:
+            solved = solved.withColumns({c: F.lit(None).cast("bigint") for c in ("reachable", "dependents")})
+        out = out.unionByName(solved.select(*names))
     return out
 
 
@@ -187,3 +195,52 @@ def distributed_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[st
     loops = pairs.where("s = t").select(*keys, F.col("s").alias("node"), F.lit(True).alias("loop"))
     joined = found.join(sizes, [*keys, "c"]).join(loops, [*keys, "node"], "left")
     return joined.select(*keys, "node", "component", F.when((F.col("n") > 1) | F.col("loop"), F.col("n")).otherwise(0).cast("bigint").alias("cyclic_size"))
+
+
+def distributed_reach(pairs: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """found (keys, node, component, cyclic_size) with exact reachable and dependents, for graphs of any size (pairs: keys, s, t)."""
+    sizes = found.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+    numbered = sorted_runs(sizes.select(*keys, "component", F.lit(1).alias("cnt")), keys, "component", "numbers").select(*keys, "component", F.col("below").alias("c"))
+    comps = materialize(sizes.join(numbered, [*keys, "component"]), "numbered")
+    of = lambda end: found.join(comps, [*keys, "component"]).select(*keys, F.col("node").alias(end), F.col("c").alias(f"{end}_c"))
+    arcs = pairs.join(of("s"), [*keys, "s"]).join(of("t"), [*keys, "t"]).where("s_c <> t_c").select(*keys, F.col("s_c").alias("s"), F.col("t_c").alias("t")).distinct()
+    arcs = materialize(arcs, "arcs")
+    counts = comps.select(*keys, "component", "c")
+    for name, along in (("reachable", arcs), ("dependents", arcs.select(*keys, F.col("t").alias("s"), F.col("s").alias("t")))):
+        counts = counts.join(_reached(along, comps, keys).withColumnRenamed("total", name), [*keys, "c"])
+    counts = materialize(counts.drop("c"), "counts")
+    return found.join(counts, [*keys, "component"])
+
+
+def _reached(arcs: DataFrame, comps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`total`, the other nodes that each component c reaches along arcs s -> t of a graph without cycles.
+
+    Reached sets are bit sets in words of 64 components, a block of words at a time. Only new bits are pushed against the arcs, until there are none.
+    """
+    words = comps.withColumns({"w": F.expr("c div 64"), "at": F.expr("cast(c % 64 as int)")})
+    more = words.where("n > 1").groupBy(*keys, "w").agg(F.collect_list(F.struct("at", "n")).alias("more"))  # at most 64 each
+    many, last = words.agg(F.count("*"), F.max("w")).first()
+    width = max(1, BLOCK_ROWS // max(1, many))
+    parts = []
+    for first in range(0, (-1 if last is None else last) + 1, width):
+        known = materialize(words.where(F.col("w").between(first, first + width - 1)).select(*keys, "c", "w", F.expr("shiftleft(1L, at)").alias("bits")), "known")
+        fresh = known
+        while True:
+            pushed = arcs.join(fresh.withColumnRenamed("c", "t"), [*keys, "t"]).groupBy(*keys, F.col("s").alias("c"), "w").agg(F.bit_or("bits").alias("bits"))
+            new = F.expr("bits & ~coalesce(old, 0L)")
+            step = materialize(pushed.join(known.withColumnRenamed("bits", "old"), [*keys, "c", "w"], "left").withColumn("bits", new).where("bits <> 0").drop("old"), "fresh")
+            if fresh is not known:
+                discard(fresh)
+            if step.limit(1).count() == 0:
+                discard(step)
+                break
+            merged = materialize(known.unionByName(step).groupBy(*keys, "c", "w").agg(F.bit_or("bits").alias("bits")), "known")
+            discard(known)
+            known, fresh = merged, step
+        weight = F.expr("bit_count(bits) + coalesce(aggregate(more, 0L, (a, x) -> a + (x.n - 1) * (shiftright(bits, x.at) & 1L)), 0L)")
+        parts.append(materialize(known.join(more, [*keys, "w"], "left").groupBy(*keys, "c").agg(F.sum(weight).alias("total")), "reached"))
+        discard(known)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(*keys, "c").agg((F.sum("total") - 1).alias("total"))
