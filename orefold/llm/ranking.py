@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefold.runtime import sorted_runs
+from orefold.runtime import null_safe_join, sorted_runs
 
 
 def component_ranks(components: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
@@ -22,7 +22,7 @@ def component_ranks(components: DataFrame, group: Sequence[str], value: str = "v
     components = components.drop("below", "ties", "total", "avg_rank")
     counts = components.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("cnt"))
     ranks = sorted_runs(counts, group, value, "ranks").withColumnRenamed("cnt", "ties")
-    joined = components.join(ranks, [*group, value], "left")
+    joined = null_safe_join(components, ranks, group, [value], "left")
     return joined.withColumn("avg_rank", F.col("below") + (F.col("ties") + 1) / F.lit(2.0))
 
 
@@ -40,9 +40,9 @@ def borda_ranking(ranked: DataFrame, within: Sequence[str], kind: str, item: str
     per_item = ranked.groupBy(*within, kind, item).agg(F.sum(w).alias("__w"), F.sum(w * points).alias("__wp"), F.count(score).alias("__n"))
     per_score = ranked.groupBy(*within, kind, score).agg(F.avg(w).alias("__mean"))
     full = per_score.groupBy(*within, kind).agg(F.count(score).alias("__all"), F.sum("__mean").alias("__full"))
-    held = ranked.join(per_score, [*within, kind, score]).groupBy(*within, kind, item).agg(F.sum("__mean").alias("__held"))
+    held = null_safe_join(ranked, per_score, [*within, kind, score]).groupBy(*within, kind, item).agg(F.sum("__mean").alias("__held"))
     # weights of an item and of its kind may be on different scales: the held part of the mean weights says how much is missing
-    both = per_item.join(held, [*within, kind, item]).join(full, [*within, kind])
+    both = null_safe_join(null_safe_join(per_item, held, [*within, kind, item]), full, [*within, kind])
     share = F.when(F.col("__full") > 0, F.col("__held") / F.col("__full")).otherwise(F.lit(1.0))
     own = F.when(F.col("__w") > 0, F.col("__wp") / F.col("__w")).otherwise(F.lit(0.5))
     scored = both.select(*within, kind, item, F.round(own * share + (1 - share) * 0.5, 12).alias("points"))

@@ -100,6 +100,14 @@ def spread_join(big: DataFrame, side: DataFrame, on: Sequence[str], how: str = "
     return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls being equal, and on plainly equal `on`; both come from the left."""
+    names = [*keys, *on]
+    other = right.withColumnsRenamed({c: f"__right_{c}" for c in names})
+    same = [F.col(c).eqNullSafe(F.col(f"__right_{c}")) for c in keys] + [F.col(c) == F.col(f"__right_{c}") for c in on]
+    return left.join(other, same, how).drop(*[f"__right_{c}" for c in names])
+
+
 def sorted_runs(counts: DataFrame, keys: Sequence[str], value: str, tag: str, parts: int | None = None) -> DataFrame:
     """The full distributed sort with per-partition counts that ranks and percentiles share.
 
@@ -107,7 +115,7 @@ def sorted_runs(counts: DataFrame, keys: Sequence[str], value: str, tag: str, pa
     by (keys, value), so a hot group is split over many tasks, and written once, so that partition
     numbers stay fixed. A group's offset in a partition is the sum of its counts in the partitions
     before; there are at most (groups + partitions) such counts. Returned: keys, value, cnt, `below`
-    (rows of the group with a smaller value) and `total` (rows of the group).
+    (rows of the group with a smaller value) and `total` (rows of the group). A null key is a key like any other.
     """
     n = parts or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = counts.repartitionByRange(n, *keys, value).withColumn("__pid", F.spark_partition_id())
@@ -123,4 +131,4 @@ def sorted_runs(counts: DataFrame, keys: Sequence[str], value: str, tag: str, pa
     )
     inside = Window.partitionBy(*keys, "__pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = ordered.withColumn("__inside", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-    return ranked.join(offsets, [*keys, "__pid"]).select(*keys, value, "cnt", (F.col("__offset") + F.col("__inside")).alias("below"), "total")
+    return null_safe_join(ranked, offsets, keys, ["__pid"]).select(*keys, value, "cnt", (F.col("__offset") + F.col("__inside")).alias("below"), "total")
