@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 
-BINS, DEPTH = 32, 3
+BINS, DEPTH = 48, 4
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.2, reg: float = 1.0, least: float = 4.0) -> dict:
-    """Trees of full depth DEPTH for logistic loss; splits between quantiles of the features."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 80, rate: float = 0.2, reg: float = 1.0, least: float = 4.0) -> dict:
+    """Trees of full depth DEPTH for weighted logistic loss; splits between quantiles of the features."""
     n, k = x.shape
+    weight = np.ones(n) if weight is None else weight
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(k)]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
-    base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    mean = np.average(y, weights=weight)
+    base = float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
     score = np.full(n, base)
     feature, threshold, leaf = [], [], []
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-6)
         f, t = np.zeros(inner, int), np.full(inner, np.inf)
         node = np.zeros(n, int)
         for at in range(inner):
@@ -72,9 +74,10 @@ def calibrate(score: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[float
     return float(a), float(b)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The calibrated probability from which on F1 is highest."""
     grid = np.linspace(0.05, 0.95, 19)
-    f1 = [2 * ((p >= c) & (y > 0)).sum() / max(1, (p >= c).sum() + (y > 0).sum()) for c in grid]
+    weight = np.ones(len(p)) if weight is None else weight
+    f1 = [2 * weight[(p >= c) & (y > 0)].sum() / max(1e-9, weight[p >= c].sum() + weight[y > 0].sum()) for c in grid]
     top = np.flatnonzero(np.asarray(f1) >= max(f1) - 1e-9)
     return float(grid[top[len(top) // 2]])

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from orefold.llm import boosting, pii
+from orefold.llm import boosting, pii, pii_samples, pii_train
 
 MODEL = pii.load_model()
 
@@ -13,36 +13,54 @@ def found(text):
 @pytest.mark.parametrize(
     ("text", "items"),
     [
-        ("Comment left by Saffira Quillfen: drop the fallback.", [("name", "Saffira Quillfen")]),
-        ("Please ask Dr. Idris van der Nordhavn before touching it.", [("name", "Idris van der Nordhavn")]),
-        ("As Ibarrondo, Märta said on the call, the ratio is wrong.", [("name", "Ibarrondo, Märta")]),
-        ("Thanks to C. Corvane for the trace, and to TOBRIN ØSTERDAL for the fix.", [("name", "C. Corvane"), ("name", "TOBRIN ØSTERDAL")]),
-        ("Comment left by Mirela Stoyanova: drop the fallback.", [("name", "Mirela Stoyanova")]),
-        ("Quillfen Systems shipped an older build. The Corvane pipeline drops these edges. Velloway Index and Tavenard Score are dashboards.", []),
+        ("Yesterday John Smith and Chidi Okafor met Lars Eriksson.", [("name", "John Smith"), ("name", "Chidi Okafor"), ("name", "Lars Eriksson")]),
+        ("Please ask Dr. Anneke van der Velden before touching it.", [("name", "Anneke van der Velden")]),
+        ("As Petrovic, Mirjana said on the call, the ratio is wrong.", [("name", "Petrovic, Mirjana")]),
+        ("Thanks to C. Hartmann for the trace, and to DARIUSZ KOWALCZYK for the fix.", [("name", "C. Hartmann"), ("name", "DARIUSZ KOWALCZYK")]),
+        ("Hartmann Systems shipped an older build. The Kowalczyk pipeline drops these edges.", []),
         ("Null Object and Strategy Pattern keep the branch count low. Quality Gate Amber since the North Harbour train.", []),
         ("Escalations go to mailto:a.b+c@mail.example.test or tel:+1 312 555 0177.", [("email", "a.b+c@mail.example.test"), ("phone", "+1 312 555 0177")]),
-        ("Maintainer contact: <p.q@kiln-works.invalid>", [("email", "p.q@kiln-works.invalid")]),
-        ("mail x_y (at) tarnpost dot example, z[at]bureau-lune[dot]test, K.L @ nordlicht.test", [("email", "x_y (at) tarnpost dot example"), ("email", "z[at]bureau-lune[dot]test"), ("email", "K.L @ nordlicht.test")]),
+        ("Maintainer contact: <p.q@pine-works.invalid>", [("email", "p.q@pine-works.invalid")]),
+        ("mail x_y (at) lakepost dot example, z[at]bureau-sud[dot]test, K.L @ ostlicht.test", [("email", "x_y (at) lakepost dot example"), ("email", "z[at]bureau-sud[dot]test"), ("email", "K.L @ ostlicht.test")]),
         ("See cognitive_complexity@0.1.0 and type_coupling@1.0.0. Pinned pkg.spans@2.3.1. At (lines) dot (columns). [Inject] and @param stay.", []),
         ("The on-call phone is ☎ (415) 555-0131 ext. 2, backup 0044 7700 900605.", [("phone", "(415) 555-0131"), ("phone", "0044 7700 900605")]),
-        ("Reported by Märta Pellorin (+46 (0)8 465 004 62).", [("name", "Märta Pellorin"), ("phone", "+46 (0)8 465 004 62")]),
-        ("Bucket 415-5550-16 holds 2031 spans. Span 120-450-993 is past it. Sample 984-31-457. Build 2031.0203.4471-17. Stamp 20310203-020704. Rev 000-1234-56. The call at 900-123.", []),
+        ("Bucket 415-5550-16 holds 2031 spans. Span 120-450-993 is past it. Sample 984-31-457. Rev 000-1234-56.", []),
+        ("Order number 4411229033 was shipped, see ticket 98123344 and commit 7712889.", []),
         ("The form lists SSN 000-78-0168, NINO: QQ 42 03 31 C, DNI 00005991-O and Steuer-ID 00 264 726 676.", [("idnum", "000-78-0168"), ("idnum", "QQ 42 03 31 C"), ("idnum", "00005991-O"), ("idnum", "00 264 726 676")]),
         ("Do not print passport no. ZZ9191085 or n° SS 9 32 13 99 508 676 00 or pnr 19940230-2541.", [("idnum", "ZZ9191085"), ("idnum", "9 32 13 99 508 676 00"), ("idnum", "19940230-2541")]),
-        ("Send the signed copy to Flat 10, 201 Windle Avenue, Fennimore.", [("address", "Flat 10, 201 Windle Avenue")]),
-        ("Regards,\nCalixto Ibarrondo\nKieselstraße 174\n99570 Ostermoor", [("name", "Calixto Ibarrondo"), ("address", "Kieselstraße 174")]),
-        ("ship to 51 bis, chemin des Aulnes. Enviar a Calle de la Noria, 37, 2º C.", [("address", "51 bis, chemin des Aulnes"), ("address", "Calle de la Noria, 37")]),
+        ("Send the signed copy to Flat 10, 201 Hawthorn Avenue, Reading.", [("address", "Flat 10, 201 Hawthorn Avenue")]),
+        ("Regards,\nTomás Herrera\nBuchenstraße 174\n99570 Kassel", [("name", "Tomás Herrera"), ("address", "Buchenstraße 174")]),
+        ("ship to 51 bis, chemin des Tilleuls. Enviar a Calle de la Noria, 37, 2º C.", [("address", "51 bis, chemin des Tilleuls"), ("address", "Calle de la Noria, 37")]),
         ("Fix 7 Road blocks before the freeze. Sprint 12 Road map. Address 14 in the symbol table. Ticket CMT-000-12 covers 14 Lane checks.", []),
+        ("Sprint 12 Green Street tasks slipped. 7 Long Way loops remain.", []),
     ],
 )
 def test_items(text, items):
     assert found(text) == items
 
 
+def test_unseen_people_formats_and_sentences():
+    """The world `held` shares no name, street, format or sentence with what the models were trained on."""
+    for table in ("GIVEN", "FAMILY", "STREETS", "ENGLISH_TYPES", "OTHER_STREETS", "PHONES", "IDS", "SENTENCES", "PLAIN"):
+        both = getattr(pii_samples, table)
+        assert not set(both["train"]) & set(both["held"]), table
+    unseen = list(pii_samples.sentences("held", 1500, 11))
+    figures = pii_train.by_end(MODEL, [t for t, _ in unseen], [{(k, at) for at, k, _ in items} for _, items in unseen])
+    for kind, (precision, recall, n) in figures.items():
+        assert precision >= 0.9 and recall >= 0.88 and n > 50, (kind, precision, recall)
+
+
+def test_every_model_splits_and_keeps_no_words():
+    for kind in pii.KINDS:
+        trees = MODEL["kinds"][kind]["trees"]
+        assert sum(c is not None for t in trees["threshold"] for c in t) > 20
+    assert set(MODEL) == {"kinds"}
+
+
 def test_positions_are_code_points_and_repeats_count():
-    text = "😀é́ Comment left by Saffira Quillfen: x. " * 2
+    text = "😀é́ Comment left by Mirjana Petrovic: x. " * 2
     starts = [a for a, _, kind, _ in pii.find([text], MODEL)[0] if kind == "name"]
-    assert starts == [text.index("Saffira"), text.rindex("Saffira")]
+    assert starts == [text.index("Mirjana"), text.rindex("Mirjana")]
 
 
 def test_long_and_odd_texts():
@@ -52,10 +70,10 @@ def test_long_and_odd_texts():
 
 
 def test_columns(spark):
-    text = "Call +1 415 555 0149 or ask Saffira Quillfen before."
+    text = "Call +1 415 555 0149 or ask Mirjana Petrovic before."
     df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, "y"), (3, "", "z")], "doc_id bigint, text string, kind string")
     rows = sorted((r.doc_id, r.kind, r.start_pos) for r in pii.find_items(df).collect())
-    assert rows == [(1, "name", text.index("Saff"))] * 2 + [(1, "phone", 5)] * 2
+    assert rows == [(1, "name", text.index("Mirj"))] * 2 + [(1, "phone", 5)] * 2
     clean = sorted((r.doc_id, r.text or "", r.text is None, r.n_items) for r in pii.redact_documents(df).collect())
     assert clean == [(1, "Call [PHONE] or ask [NAME] before.", False, 2)] * 2 + [(2, "", True, 0), (3, "", False, 0)]
     assert pii.find_items(df.limit(0)).collect() == []
