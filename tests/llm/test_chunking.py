@@ -4,7 +4,7 @@ import random
 
 from orefold.llm.chunking import bisect_text, split_oversized
 
-SCHEMA = "chunk_id string, snapshot_no int, start_line int, end_line int, token_estimate int, text string, delivered_at timestamp, n_tokens string"
+SCHEMA = "chunk_id string, snapshot_no int, start_line int, end_line int, token_estimate int, text string, delivered_at timestamp, n_tokens string, chunk_kind string"
 
 
 def units(s):
@@ -49,8 +49,32 @@ def test_cuts_are_at_blank_lines_and_share_two_lines():
         assert text[:c].endswith("\n\n") and shared == 2
 
 
+def test_two_lines_are_shared_whatever_their_length():
+    for tokens, lines in ((40, 2), (100, 2), (150, 2), (170, 2), (200, 1), (250, 1), (300, 0), (479, 0)):
+        text = "".join(f"{n:04d}" + "x" * (tokens * 4 - 5) + "\n" for n in range(40))
+        pieces = check(text)
+        assert all(c % (tokens * 4) == 0 for _, c, _, _ in pieces)  # no cut inside a line that fits
+        assert {min(n, c // (tokens * 4), lines) for _, c, _, n in pieces[2:]} == {lines}, tokens
+    assert all(shared == 0 for *_, shared in check(("x" * 2039 + "\n") * 9)[1:])  # single lines that are themselves too large
+
+
+def test_cuts_are_after_whole_blocks():
+    method = "    public int M{0}(int a)\n    {{\n        if (a > {0})\n        {{\n            a++;\n        }}\n\n        while (a < 9)\n        {{\n            a *= 2;\n        }}\n        return a;\n    }}\n\n"
+    text = "public class Sample\n{\n" + "".join(method.format(n) for n in range(40)) + "}\n"
+    for _, c, _, _ in check(text)[1:]:
+        assert text[:c].endswith("    }\n\n") and text[c:].startswith(("    public", "}"))
+
+
+def test_an_estimate_of_any_size(spark):
+    out = rows(spark, [("wrong", 1, 1, 3, 200_000, None, None), ("many lines", 1, 1, 90_000, 600, None, None), ("long lines", 1, 1, 10, 2000, None, None)]).collect()
+    for name, size in (("wrong", 200_000), ("many lines", 600), ("long lines", 2000)):
+        own = sorted((r for r in out if r.chunk_id == name), key=lambda r: r.piece_no)
+        assert sum(r.n_tokens - r.shared_tokens for r in own) == size and max(r.n_tokens for r in own) <= 512 and all(r.shared_tokens for r in own[1:])
+    assert {r.shared_lines for r in out if r.chunk_id == "many lines" and r.piece_no} == {2}
+
+
 def rows(spark, data):
-    return split_oversized(spark.createDataFrame([(*d, None) for d in data], SCHEMA))
+    return split_oversized(spark.createDataFrame([(*d, None, "member_body") for d in data], SCHEMA))
 
 
 def test_operator(spark):
@@ -71,6 +95,7 @@ def test_operator(spark):
     assert all(b.start_line == a.end_line - 1 and b.shared_lines == 2 for a, b in zip(big, big[1:]))
     assert all(r.text == "\n".join(long.split("\n")[r.start_line - 10 : r.end_line - 9]) + "\n" for r in big)
     assert all(b.start_line == a.end_line - 1 and b.shared_lines == 2 for a, b in zip(by["null"], by["null"][1:])) and by["null"][-1].end_line == 104
+    assert all(r.chunk_kind == "member_body" for r in out)
     assert all(r.shared_tokens == 32 and r.start_line == 5 for r in by["one line"][1:])
 
 
