@@ -1,8 +1,9 @@
 """A training mix with target shares of tokens, fitted by a bounded knapsack over token lengths."""
 
 from __future__ import annotations
+from math import gcd
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from orefold.llm.tokenizer import TOKENIZER_DIR, VOCABULARY, encode_column
 from orefold.runtime import materialize, sorted_runs, spread_join
 
-#: Tokens that are left to the exact part of the fit, beyond the longest document.
-WINDOW = 8_192
+#: Tokens that the exact part of the fit starts with, beyond the longest document.
+FIRST_WINDOW = 1_024
 
 PLAN_SCHEMA = "key string, n_tokens bigint, n_docs bigint, repeats int, extra bigint"
 
@@ -25,35 +26,54 @@ def fit_budget(lengths: dict[int, int], budget: int, max_repeats: int) -> tuple[
     """(r, {length: k}): every document r times, and k documents of each length once more, so that the tokens come as close
     to the budget as can be from below, and none is repeated more than max_repeats times.
 
-    lengths counts documents by length. Most of what is left after the full rounds is taken in proportion from every length, then from the
-    longest; the last part, at most WINDOW tokens beyond the longest document, is an exact bounded knapsack over reachable sums.
+    lengths counts documents by length. What is left after the full rounds is taken in proportion from every length but for a window, which is an
+    exact bounded knapsack over reachable sums. Should no sum fill the window, it grows until one does or until it is all that is left, so the
+    result is the best there is. Memory is five bytes a token of the window.
     """
     total = sum(n * c for n, c in lengths.items())
     if total == 0 or total * max_repeats <= budget:
         return max_repeats, {}
     rounds, left = divmod(max(budget, 0), total)
-    bulk = max(0, left - WINDOW - max(lengths))
-    taken = {n: c * bulk // total for n, c in lengths.items() if n > 0}
-    left -= sum(n * k for n, k in taken.items())
-    for n in sorted(taken, reverse=True):
-        k = min(lengths[n] - taken[n], max(0, left - WINDOW) // n)
-        taken[n] += k
-        left -= n * k
-    reach, steps = 1, []
-    full = (1 << (left + 1)) - 1
-    for n in sorted(taken, reverse=True):
-        free, part = min(lengths[n] - taken[n], left // n), 1
-        while free > 0 and not reach >> left & 1:
-            k = min(part, free)
-            steps.append((n, k, reach))
-            reach |= (reach << (n * k)) & full
-            free, part = free - k, part * 2
-    best = reach.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> best & 1:  # the sum needs this step
-            taken[n] += k
-            best -= n * k
-    return rounds, {n: k for n, k in taken.items() if k}
+    unit = gcd(*(n for n in lengths if n))
+    free = {n // unit: c for n, c in lengths.items() if n > 0}
+    left //= unit
+    window = FIRST_WINDOW
+    while True:
+        bulk = max(0, left - window - max(free))
+        taken, carry = {}, 0
+        for n in sorted(free):  # shares are rounded as they add up, so no length is favoured
+            want = free[n] * bulk + carry
+            taken[n], carry = divmod(want, total // unit)
+        rest = left - sum(n * k for n, k in taken.items())
+        sums, more = subset_sum({n: free[n] - k for n, k in taken.items()}, rest)
+        if sums == rest or bulk == 0:
+            return rounds, {n * unit: taken[n] + more.get(n, 0) for n in free if taken[n] + more.get(n, 0)}
+        window *= 4
+
+
+def subset_sum(free: dict[int, int], most: int) -> tuple[int, dict[int, int]]:
+    """The largest sum up to `most` of the free numbers (number: how often), and how often each one is in it."""
+    reached = np.zeros(most + 1, bool)
+    reached[0] = True
+    first = np.full(most + 1, -1, np.int32)  # the step that reached a sum first; what is below it needs earlier steps only
+    steps: list[tuple[int, int]] = []
+    for n in sorted(free, reverse=True):
+        left, part = min(free[n], most // n), 1
+        while left > 0 and not reached[most]:
+            k = min(part, left)
+            w = n * k
+            new = reached[: most + 1 - w] & ~reached[w:]
+            first[w:][new] = len(steps)
+            reached[w:] |= new
+            steps.append((n, k))
+            left, part = left - k, part * 2
+    best = at = int(np.flatnonzero(reached)[-1])
+    used: dict[int, int] = {}
+    while at:
+        n, k = steps[first[at]]
+        used[n] = used.get(n, 0) + k
+        at -= n * k
+    return best, used
 
 
 def size_documents(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -64,13 +84,14 @@ def size_documents(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", fol
     return materialize(encode_column(wanted, [doc, "key"], vocabulary=vocabulary, folder=folder, ids=False), "sizes")
 
 
-def plan_mix(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plan, report) of a mix as large as all tokens of the targets' documents.
+def plan_mix(sizes: DataFrame, targets: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(plan, report) of the largest mix, up to all tokens of the targets' documents, in which every source that has documents can have its share.
 
+    With `whole` the mix is as large as all tokens instead, and sources that can't fill their shares give all they may.
     plan (PLAN_SCHEMA): per source key and token length, how often each document comes and how many come once more. One task fits one source
     from its count of documents by length; the lengths number at most the longest document's tokens, whatever the number of documents. report: per row of targets the
     available tokens, `budget`, reached tokens and share of the mix, and `short`: whether tokens * max_repeats are fewer than target_share * all tokens. A source without
-    documents has 0 tokens; null shares count as 0, null max_repeats as 1.
+    documents has 0 tokens and doesn't hold the others back; null shares count as 0, null max_repeats as 1.
     """
     spec = targets.select(
         "source",
@@ -81,7 +102,10 @@ def plan_mix(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame
     counts = materialize(sizes.groupBy("key", "n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     by_key = counts.groupBy("key").agg(F.sum(F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.sum("n_docs").alias("docs"))
     everything = by_key.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))  # one row
-    budgets = spec.join(by_key, "key", "left").crossJoin(everything).na.fill(0, ["tokens", "docs"]).withColumn("budget", F.floor(F.col("target_share") * F.col("all_tokens")))
+    known = spec.join(by_key, "key", "left").crossJoin(everything).na.fill(0, ["tokens", "docs"])
+    reach = F.when((F.col("tokens") > 0) & (F.col("target_share") > 0), F.col("tokens") * F.col("max_repeats") / F.col("target_share"))
+    size = known.agg(F.least(F.max("all_tokens"), F.max("all_tokens") if whole else F.min(reach)).alias("size"))  # one row; least passes over nulls
+    budgets = known.crossJoin(size).withColumn("budget", F.floor(F.col("target_share") * F.col("size") + 1e-6)).drop("size")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = {int(n): int(c) for n, c in zip(pdf["n_tokens"], pdf["n_docs"])}

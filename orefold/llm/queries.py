@@ -98,14 +98,16 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
 # 8: a mix of sources
 
 
-def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _plan(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = _t(spark, d, "mix_targets")
     sizes = mixing.size_documents(_t(spark, d, "documents"), targets)
-    return (sizes, *mixing.plan_mix(sizes, targets))
+    return (sizes, *mixing.plan_mix(sizes, targets, whole))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _plan(spark, d)[2].where("short").select("source")
+    """Sources whose fit takes every document as often as it may and still doesn't fill their share of all tokens."""
+    full = "reached_tokens = tokens * max_repeats AND reached_tokens < target_share * all_tokens"
+    return _plan(spark, d, whole=True)[2].where(full).select("source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
