@@ -108,6 +108,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: S
     return left.join(other, same, how).drop(*[f"__right_{c}" for c in names])
 
 
+def split_hot(rows: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys with at most `most` rows, rows of the others or None if there are none); together they are all rows.
+
+    For operators that have one way for groups that fit a task and another for groups of any size, with the same results. Only the keys
+    are read to count them. Hot keys number at most rows / most; they are broadcast behind a check, else joined by a shuffle.
+    """
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*keys)
+    if hot.limit(1).count() == 0:
+        return rows, None
+    side, _ = small_side(hot.withColumnsRenamed({k: f"__hot_{k}" for k in keys}))
+    same = [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
+    return rows.join(side, same, "left_anti"), rows.join(side, same, "left_semi")
+
+
 def sorted_runs(counts: DataFrame, keys: Sequence[str], value: str, tag: str, parts: int | None = None) -> DataFrame:
     """The full distributed sort with per-partition counts that ranks and percentiles share.
 
