@@ -1,10 +1,10 @@
 """Byte-level BPE encoding of whole columns with a public vocabulary.
 
 Pre-tokenisation works on arrays of code points of many texts at once. Every code point gets a class (letter,
-number, space, other); the transition functions of the splitting automaton over these classes are resets, except inside
-runs, so their scan is a running maximum of run starts, and a token starts where a run does, moved back over
+number, space, other). The splitting automaton's state after a code point is its class alone, whatever the state before: every transition function is
+constant, so the scan that composes them ends after one step, a comparison of neighbours. A token starts where a run of one class does, moved back over
 one joined space and cut after contractions. No regular expression is run. Slices of the UTF-8 bytes go through a
-cache of merged words; offsets stay known: a token's bytes are its vocabulary entry's.
+cache of merged words; offsets stay known: a token's bytes are its vocabulary entry's (decode_column).
 """
 
 from __future__ import annotations
@@ -217,6 +217,20 @@ class Encoder:
         return b"".join(self.parts[i] for i in ids).decode("utf-8", "replace")
 
 
+def decode_column(encoded: DataFrame, keep: Sequence[str], ids: str = "ids", vocabulary: str = VOCABULARY, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """The columns `keep` of every row with the text that its ids stand for; null and empty lists give an empty text."""
+    path = os.path.join(folder, vocabulary)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.schema if f.name in keep) + "text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            texts = [enc.decode(x or ()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+
+    return encoded.select(*keep, ids).mapInArrow(run, schema)
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file, loaded once per process."""
     if path not in _loaded:
