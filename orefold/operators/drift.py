@@ -5,12 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orefold.runtime import materialize
+from orefold.runtime import materialize, small_side
 
 LEAVES_SCHEMA = "ok boolean, rec string, leaves map<string,struct<t:string,v:string>>"
 
@@ -39,18 +38,14 @@ def _flatten(node: dict, prefix: str, out: dict) -> None:
 
 
 def parse_line(payload: str | None, record_keys: Sequence[str]) -> tuple[bool, str | None, dict]:
-    """Whether the line parses as a JSON object, the record's key, and its leaves."""
-    if payload is None:
-        return False, None, {}
-    try:
-        obj = json.loads(payload, parse_constant=_reject)
-    except (ValueError, RecursionError):
-        return False, None, {}
-    if not isinstance(obj, dict):
+    """Whether the line parses as a JSON object, the record's key (null if it has none of the keys), and its leaves."""
+    obj = _object(payload)
+    if obj is None:
         return False, None, {}
     out: dict = {}
     _flatten(obj, "", out)
-    return True, json.dumps([out.get(k, (None, None))[1] for k in record_keys], ensure_ascii=False), out
+    key = [out.get(k, (None, None))[1] for k in record_keys]
+    return True, json.dumps(key, ensure_ascii=False) if any(k is not None for k in key) else None, out
 
 
 def load_leaves(lines: DataFrame, record_keys: Sequence[str], payload: str = "payload") -> DataFrame:
@@ -83,87 +78,153 @@ def load_leaves(lines: DataFrame, record_keys: Sequence[str], payload: str = "pa
     return lines.select(*kept).mapInArrow(read, schema)
 
 
-def field_stats(leaves: DataFrame, file_keys: Sequence[str]) -> DataFrame:
-    """Path-type statistics by file: the set of JSON types of each path and the number of lines that hold it."""
-    flat = leaves.select(*file_keys, F.explode("leaves").alias("path", "leaf"))
-    return flat.groupBy(*file_keys, "path").agg(F.array_sort(F.collect_set("leaf.t")).alias("types"), F.count("*").alias("n_lines"))
+def _kinds(node: dict, prefix: str, out: dict) -> None:
+    """Leaf paths of an object with the bit of their JSON type."""
+    stack = [(prefix, node)]
+    while stack:
+        at, obj = stack.pop()
+        for name, value in obj.items():
+            if isinstance(value, dict):
+                stack.append((at + name + ".", value))
+            elif value is not None:
+                out[at + name] = 1 if isinstance(value, str) else 4 if isinstance(value, bool) else 8 if isinstance(value, list) else 2
+
+
+def _object(payload: str | None) -> dict | None:
+    """The object of a line; None for broken, null and non-object lines."""
+    try:
+        obj = json.loads(payload, parse_constant=_reject) if payload is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return obj if isinstance(obj, dict) else None
 
 
-def file_pairs(files: DataFrame, feed: str, seq: str) -> DataFrame:
-    """Each file of a feed with the number of the file after it (null for the last)."""
-    return files.select(feed, seq).distinct().withColumn("next_seq", F.lead(seq).over(Window.partitionBy(feed).orderBy(seq)))
+def field_stats(lines: DataFrame, file_keys: Sequence[str], payload: str = "payload") -> DataFrame:
+    """Path-type statistics by file: `kinds`, the JSON types of each path as a set of bits (1 string, 2 number, 4 boolean, 8 array), and `n_lines` that hold it.
+
+    Lines are parsed and counted where they are read, so only a few rows per file go on. A file has one row with a null path besides, so that files without a line that
+    parses are known too.
+    """
+    names = list(file_keys)
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, dict] = {}
+            keys = zip(*(batch.column(i).to_pylist() for i in range(len(names))))
+            for key, line in zip(keys, batch.column(len(names)).to_pylist()):
+                own = found.setdefault(key, {None: [0, 0]})
+                obj = _object(line)
+                if obj is not None:
+                    here: dict = {}
+                    _kinds(obj, "", here)
+                    for path, bit in here.items():
+                        cell = own.setdefault(path, [0, 0])
+                        cell[0] |= bit
+                        cell[1] += 1
+            flat = [(key, path, *cell) for key, own in found.items() for path, cell in own.items()]
+            columns = [pa.array([f[0][i] for f in flat], batch.schema.field(i).type) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.int32()), pa.array([f[3] for f in flat], pa.int64())], names=[*names, "path", "kinds", "n_lines"])
+
+    ddl = ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", path string, kinds int, n_lines bigint"
+    partial = lines.select(*names, payload).mapInArrow(count, ddl)
+    return partial.repartition(*names).groupBy(*names, "path").agg(F.bit_or("kinds").alias("kinds"), F.sum("n_lines").alias("n_lines"))
+
+
+def field_values(lines: DataFrame, record_keys: Sequence[str], keep: Sequence[str], paths: str, payload: str = "payload", whole: str | None = None) -> DataFrame:
+    """The columns `keep` with rec, path and v (type and text) for each of the line's own `paths` (array<string>) that it holds.
+
+    rec is the text of the record's keys. Lines without any of them are no record that could be met again and are left out, but for those where
+    the boolean column `whole` says that a line is its file's only record.
+    """
+    names, keys = list(keep), list(record_keys)
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
 
-def schema_changes(leaves: DataFrame, feed: str = "feed", seq: str = "file_seq") -> DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, recs, found, values = [], [], [], []
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
+            for i, (line, wanted, one) in enumerate(zip(column("__line"), column("__paths"), column("__whole"))):
+                obj = _object(line)
+                if obj is None:
+                    continue
+                leaves: dict = {}
+                _flatten(obj, "", leaves)
+                key = [leaves.get(k, (None, None))[1] for k in keys]
+                if not one and not any(k is not None for k in key):
+                    continue
+                rec = "" if one else json.dumps(key, ensure_ascii=False)
+                for path in wanted:
+                    if path in leaves:
+                        at.append(i)
+                        recs.append(rec)
+                        found.append(path)
+                        values.append(":".join(leaves[path]))
+            kept = [batch.column(batch.schema.get_field_index(c)).take(pa.array(at, pa.int32())) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(recs, pa.string()), pa.array(found, pa.string()), pa.array(values, pa.string())], names=[*names, "rec", "path", "v"])
+
+    one = F.coalesce(F.col(whole), F.lit(False)) if whole else F.lit(False)
+    read_from = lines.select(*names, F.col(payload).alias("__line"), F.col(paths).alias("__paths"), one.alias("__whole"))
+    return read_from.mapInArrow(read, ", ".join(f"`{k}` {kinds[k]}" for k in names) + ", rec string, path string, v string")
+
+
+def _match(shares: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by with `renames`, the pairs of fields, best first, each field at most once; the pairs of a file are bounded by the fields of two files."""
+    best = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("a"), (-F.col("same")).alias("b"), "field_before", "field_after")))
+    taken = lambda acc, x: F.exists(acc, lambda k: (k["field_before"] == x["field_before"]) | (k["field_after"] == x["field_after"]))
+    keep = F.aggregate(
+        "best", F.array().cast("array<struct<field_before:string,field_after:string>>"),
+        lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.array_append(acc, F.struct(x["field_before"].alias("field_before"), x["field_after"].alias("field_after")))),
+    )
+    return shares.groupBy(*by).agg(best.alias("best")).select(*by, keep.alias("renames"))
+
+
+def schema_changes(lines: DataFrame, record_keys: Sequence[str], payload: str = "payload", feed: str = "feed", seq: str = "file_seq", whole: str | None = None) -> DataFrame:
     """Fields added, removed, retyped or renamed between a file and the one before it in its feed.
 
     A rename pairs one field only in the earlier with one only in the later file of which more than half of the common
     records that have both hold the same value (type and text); each field is paired at most once, best share first,
-    then most equal records, then by name. A record that occurs more than once in a file counts with each of its values and is equal if one of them is.
-    Feeds and files of null number are left out; files without a line that parses have no fields.
+    then most equal records, then by name. A record that occurs more than once in a file counts with each of its values and is equal if one of them is; lines without
+    any key are no records (see field_values for `whole`). Feeds and files of null number are left out; files without a line that parses have no fields.
+
+    Statistics per file decide what is added, removed and retyped; lines are read again only of files that have both added and removed fields, and only these fields of them.
     Columns: feed, seq, change, field_before, field_after.
     """
-    there = leaves.where(F.col(feed).isNotNull() & F.col(seq).isNotNull())
-    pairs = file_pairs(there, feed, seq)
-    stats = field_stats(there, [feed, seq])
-    both = F.array(F.struct(F.col(seq).alias("pair"), F.lit(1).alias("side")), F.struct(F.col("next_seq").alias("pair"), F.lit(0).alias("side")))
-    firsts = pairs.groupBy(feed).agg(F.min(seq).alias("__first"))
-    sided = stats.join(pairs, [feed, seq]).withColumn("s", F.explode(both)).where("s.pair IS NOT NULL")
-    types = lambda n: F.max(F.when(F.col("s.side") == n, F.col("types")))
-    compared = (
-        sided.groupBy(feed, F.col("s.pair").alias("pair"), "path")
-        .agg(types(0).alias("old"), types(1).alias("new"))
-        .join(firsts, feed)
-        .where(F.col("pair") > F.col("__first"))
-    )
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "retyped")
-    # a few rows per file, read by every branch below
-    changed = materialize(compared.select(feed, "pair", "path", change.alias("change")).where("change IS NOT NULL"), "changes")
+    there = lines.where(F.col(feed).isNotNull() & F.col(seq).isNotNull())
+    per_file = field_stats(there, [feed, seq], payload).groupBy(feed, seq).agg(F.map_from_entries(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "kinds")))).alias("now"))
+    order = Window.partitionBy(feed).orderBy(seq)
+    compared = per_file.select(feed, F.col(seq).alias("pair"), "now", F.lag("now").over(order).alias("old"), F.lag(seq).over(order).alias("__before")).where("old IS NOT NULL")
+    names = F.map_keys
+    changed = compared.select(
+        feed, "pair", "__before", F.array_except(names("now"), names("old")).alias("added"), F.array_except(names("old"), names("now")).alias("removed"),
+        F.filter(names("now"), lambda k: F.try_element_at("old", k) != F.try_element_at("now", k)).alias("retyped"),
+    ).where("size(added) + size(removed) + size(retyped) > 0")
+    changed = materialize(changed, "changes")  # at most a row per file
 
     # records of the two files, only for fields that are on one side and only where both kinds of them exist
-    lonely = changed.where(F.col("change") != "retyped")
-    mixed = lonely.groupBy(feed, "pair").agg(F.count_distinct("change").alias("k")).where("k = 2").select(feed, "pair")
-    lonely = lonely.join(mixed, [feed, "pair"], "left_semi")
-    flat = there.select(feed, seq, "rec", F.explode("leaves").alias("path", "leaf"))
-    value = F.concat_ws(":", "leaf.t", "leaf.v")
-    later = lonely.where("change = 'added'").select(feed, F.col("pair").alias(seq), F.col("pair"), "path")
-    earlier = lonely.where("change = 'removed'").join(pairs.select(feed, F.col(seq).alias("__seq"), F.col("next_seq").alias("pair")), [feed, "pair"]).select(feed, F.col("__seq").alias(seq), "pair", "path")
-    held = lambda side, to: (
-        flat.join(side, [feed, seq, "path"]).select(feed, "pair", "rec", F.col("path").alias(to), value.alias("v")).groupBy(feed, "pair", "rec", to).agg(F.collect_set("v").alias(f"{to}_v"))
-    )
-    records = held(earlier, "field_before").join(held(later, "field_after"), [feed, "pair", "rec"])
-    shares = (
-        records.groupBy(feed, "pair", "field_before", "field_after")
-        .agg(F.avg(F.arrays_overlap("field_before_v", "field_after_v").cast("int")).alias("share"), F.count_if(F.arrays_overlap("field_before_v", "field_after_v")).alias("same"))
-        .where("share > 0.5")
-    )
-    # pairs without a rival are taken as they are; only fields with several partners are matched one by one
-    of = lambda c: F.count("*").over(Window.partitionBy(feed, "pair", c))
-    shares = materialize(shares.withColumn("rivals", of("field_before") + of("field_after") - 2), "shares")
-    clear = shares.where("rivals = 0").select(feed, "pair", F.lit("renamed").alias("change"), "field_before", "field_after")
-    kinds = {f.name: f.dataType.simpleString() for f in there.schema}
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one file, best first; their number is bounded by the fields of two files."""
-        used_before, used_after, kept = set(), set(), []
-        for r in pdf.sort_values(["share", "same", "field_before", "field_after"], ascending=[False, False, True, True]).itertuples(index=False):
-            if r.field_before not in used_before and r.field_after not in used_after:
-                used_before.add(r.field_before)
-                used_after.add(r.field_after)
-                kept.append((getattr(r, feed), r.pair, "renamed", r.field_before, r.field_after))
-        return pd.DataFrame(kept, columns=[feed, "pair", "change", "field_before", "field_after"])
-
-    matched = shares.where("rivals > 0").groupBy(feed, "pair").applyInPandas(match, f"`{feed}` {kinds[feed]}, pair {kinds[seq]}, change string, field_before string, field_after string")
-    renamed = clear.unionByName(matched)
-    gone = renamed.select(feed, "pair", F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("field_before").alias("path")), F.struct(F.lit("added").alias("change"), F.col("field_after").alias("path")))).alias("x")).select(feed, "pair", "x.change", "x.path")
-    rest = changed.join(gone, [feed, "pair", "change", "path"], "left_anti").select(
-        feed,
-        "pair",
-        "change",
-        F.when(F.col("change") == "added", "").otherwise(F.col("path")).alias("field_before"),
-        F.when(F.col("change") == "removed", "").otherwise(F.col("path")).alias("field_after"),
-    )
-    return rest.unionByName(renamed).withColumnRenamed("pair", seq)
+    mixed = changed.where("size(added) > 0 AND size(removed) > 0")
+    side = lambda n, at, paths: F.struct(F.col(at).alias(seq), F.lit(n).alias("side"), F.col(paths).alias("paths"))
+    wanted = mixed.select(feed, "pair", F.inline(F.array(side(0, "__before", "removed"), side(1, "pair", "added"))))
+    wanted, _ = small_side(wanted)
+    held = field_values(there.join(wanted, [feed, seq]), record_keys, [feed, "pair", "side"], "paths", payload, whole)
+    on = lambda n: F.collect_set(F.when(F.col("side") == n, F.col("path")))
+    alike = held.groupBy(feed, "pair", "rec", "v").agg(on(0).alias("x"), on(1).alias("y"))
+    # per record the fields of either side and which of them share a value; no list here is longer than the fields of a file allow
+    fields = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    records = alike.groupBy(feed, "pair", "rec").agg(fields("x").alias("xs"), fields("y").alias("ys"), F.collect_set(F.when((F.size("x") > 0) & (F.size("y") > 0), F.struct("x", "y"))).alias("hits"))
+    each = records.select(feed, "pair", "hits", F.explode("xs").alias("field_before"), "ys").select(feed, "pair", "hits", "field_before", F.explode("ys").alias("field_after"))
+    same = F.exists("hits", lambda h: F.array_contains(h["x"], F.col("field_before")) & F.array_contains(h["y"], F.col("field_after"))).cast("int")
+    shares = each.groupBy(feed, "pair", "field_before", "field_after").agg(F.avg(same).alias("share"), F.sum(same).alias("same")).where("share > 0.5")
+    renamed = _match(shares, [feed, "pair"])
+
+    out = changed.join(renamed, [feed, "pair"], "left").withColumn("renames", F.coalesce("renames", F.array().cast("array<struct<field_before:string,field_after:string>>")))
+    row = lambda change, before, after: F.struct(F.lit(change).alias("change"), before.alias("field_before"), after.alias("field_after"))
+    none = F.lit("")
+    every = F.concat(
+        F.transform(F.array_except("added", "renames.field_after"), lambda p: row("added", none, p)), F.transform(F.array_except("removed", "renames.field_before"), lambda p: row("removed", p, none)),
+        F.transform("retyped", lambda p: row("retyped", p, p)), F.transform("renames", lambda r: row("renamed", r["field_before"], r["field_after"])),
+    )
+    return out.select(feed, F.col("pair").alias(seq), F.inline(every))
 
 
 def spellings(columns: Sequence[str], *evidence: Sequence[tuple[str, str, int]]) -> dict[str, list[str]]:
@@ -195,13 +256,13 @@ def spellings(columns: Sequence[str], *evidence: Sequence[tuple[str, str, int]])
     return {c: members[c][1:] for c in columns if len(members[c]) > 1}
 
 
-def feed_spellings(leaves: DataFrame, changes: DataFrame, columns: Sequence[str], feed: str = "feed") -> DataFrame:
-    """For each feed of leaves the `names` its columns go by: those of its own renames in changes first, then those of all these feeds.
+def feed_spellings(lines: DataFrame, changes: DataFrame, columns: Sequence[str], feed: str = "feed") -> DataFrame:
+    """For each feed of lines the `names` its columns go by: those of its own renames in changes first, then those of all these feeds.
 
     A feed may have had a spelling from its first file on, or changed name and type at once, so that only other feeds tell the rename.
     The distinct pairs of names are collected; field names are few, however many the files.
     """
-    feeds = leaves.select(feed).distinct()
+    feeds = lines.select(feed).distinct()
     renames = changes.where("change = 'renamed'").join(feeds, feed, "left_semi").groupBy(feed, "field_before", "field_after").agg(F.count("*").alias("n"))
     renames = materialize(renames, "renames")
     everywhere = [tuple(r) for r in renames.groupBy("field_before", "field_after").agg(F.sum("n")).collect()]

@@ -58,37 +58,38 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("artifact", *keys).agg(F.count("*").alias("n"))
 
 
-def _leaves(spark: SparkSession, d: str) -> DataFrame:
-    lines = _t(spark, d, "artifact_lines").select("feed", "artifact", "file_seq", "line_no", "payload")
-    return materialize(drift.load_leaves(lines, RECORD_KEYS).drop("payload"), "leaves")  # parsed once, read by every branch
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    whole = (F.col("artifact") == "manifest.json").alias("whole")  # such a file is one record
+    return _t(spark, d, "artifact_lines").select("feed", "artifact", "file_seq", "line_no", "payload", whole)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_changes(_leaves(spark, d))
+    return drift.schema_changes(_lines(spark, d), RECORD_KEYS, whole="whole")
 
 
-def _typed(leaves: DataFrame, file_keys: list[str]) -> DataFrame:
+def _typed(lines: DataFrame, file_keys: list[str]) -> DataFrame:
     """The lines of both artifacts as one table; columns of the other artifact are null."""
-    changes = drift.schema_changes(leaves)
+    changes = materialize(drift.schema_changes(lines, RECORD_KEYS, whole="whole"), "renames")
     parts = []
     for artifact, columns in ARTIFACT_COLUMNS.items():
-        lines = leaves.where(F.col("artifact") == artifact)
-        names = drift.feed_spellings(lines, changes, list(columns)).withColumnRenamed("feed", "__feed")
-        named = lines.join(names, F.col("feed").eqNullSafe(F.col("__feed")), "left")
+        own = lines.where(F.col("artifact") == artifact)
+        names = drift.feed_spellings(own, changes, list(columns)).withColumnRenamed("feed", "__feed")
+        leaves = drift.load_leaves(own, RECORD_KEYS).drop("payload")
+        named = leaves.join(names, F.col("feed").eqNullSafe(F.col("__feed")), "left")
         parts.append(drift.project_typed(named, columns, "names", ["artifact", *file_keys]))
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     """All records of all files as one typed table; repeated lines come out once."""
-    rows = _typed(_leaves(spark, d), ["feed", "file_seq", "line_no"])
+    rows = _typed(_lines(spark, d), ["feed", "file_seq", "line_no"])
     flat = rows.withColumn("tags", F.array_join(F.array_sort("tags"), ",")).withColumn("failed_casts", F.array_join("failed_casts", ","))
     return flat.withColumn("extra", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("extra"))))).distinct()
 
 
 def p5_casts(spark: SparkSession, d: str) -> DataFrame:
     """Failed casts per feed, file and field."""
-    rows = _typed(_leaves(spark, d), ["feed", "file_seq"])
+    rows = _typed(_lines(spark, d), ["feed", "file_seq"])
     return rows.select("feed", "file_seq", F.explode("failed_casts").alias("field")).groupBy("feed", "file_seq", "field").agg(F.count("*").alias("n"))
 
 
@@ -159,8 +160,8 @@ WHERE r.target_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id =
 
 #: Objects three levels deep, as in these feeds; the greedy choice of renames is written as mutual best pairs, which is the same without conflicts.
 _P5 = r"""
-WITH ok AS (SELECT feed, file_seq, CASE WHEN json_valid(payload) THEN payload END AS j FROM (SELECT DISTINCT feed, file_seq, payload FROM artifact_lines)),
-rec AS (SELECT feed, file_seq, row_number() OVER () AS rid, j, coalesce(json_extract_string(j, '$.targetId'), '') || '|' || coalesce(json_extract_string(j, '$.metricId'), '') AS rec FROM ok WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),
+WITH ok AS (SELECT feed, artifact, file_seq, CASE WHEN json_valid(payload) THEN payload END AS j FROM (SELECT DISTINCT feed, artifact, file_seq, payload FROM artifact_lines)),
+rec AS (SELECT feed, file_seq, row_number() OVER () AS rid, j, CASE WHEN artifact = 'manifest.json' THEN '' WHEN coalesce(json_extract_string(j, '$.targetId'), json_extract_string(j, '$.metricId')) IS NOT NULL THEN coalesce(json_extract_string(j, '$.targetId'), '') || '|' || coalesce(json_extract_string(j, '$.metricId'), '') END AS rec FROM ok WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),
 w AS (SELECT feed, file_seq, rid, rec, k1, json_extract(j, '$."' || k1 || '"') AS v1 FROM (SELECT *, unnest(json_keys(j)) AS k1 FROM rec)),
 x AS (SELECT feed, file_seq, rid, rec, k1 || '.' || k2 AS k, json_extract(v1, '$."' || k2 || '"') AS v FROM (SELECT *, unnest(json_keys(v1)) AS k2 FROM w WHERE json_type(v1) = 'OBJECT')
       UNION ALL SELECT feed, file_seq, rid, rec, k1, v1 FROM w WHERE json_type(v1) <> 'OBJECT'),
