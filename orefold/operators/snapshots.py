@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,13 +12,15 @@ from orefold.runtime import spread_join
 #: Finite numbers a and b count as equal where |a - b| <= TOLERANCE * max(1, |a|, |b|).
 TOLERANCE = 1e-9
 
+#: Listed snapshots of a scope up to which a key's sides are gathered as columns of one aggregate; for longer histories rows are tagged by pair instead.
+SLOTS = 12
+
 
 def _at(delivered: str) -> Column:
     """Delivery time for ordering; null counts as the oldest."""
     return F.coalesce(F.col(delivered).cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-
 def untagged(tags: str = "tags") -> Column:
     """True for rows that aren't broken down by tags (null or empty)."""
     return F.coalesce(F.size(tags), F.lit(0)) <= 0
@@ -53,6 +54,13 @@ def snapshot_pairs(listing: DataFrame, scope: str, snapshot: str) -> DataFrame:
     )
 
 
+def listed_snapshots(listing: DataFrame, scope: str, snapshot: str) -> DataFrame:
+    """Each listed (scope, snapshot) with its place __i among the scope's snapshots, from 1, and their number __n."""
+    of_scope = Window.partitionBy(scope)
+    listed = listing.select(scope, snapshot).where(F.col(scope).isNotNull() & F.col(snapshot).isNotNull()).distinct()
+    return listed.withColumns({"__i": F.row_number().over(of_scope.orderBy(snapshot)), "__n": F.count("*").over(of_scope)})
+
+
 def snapshot_changes(
     rows: DataFrame,
     listing: DataFrame,
@@ -68,36 +76,46 @@ def snapshot_changes(
 
     Both sides of every pair of snapshots are united, tagged by side, and grouped by key; a single
     aggregation shuffle finds the row delivered last on each side and compares the sides' row hashes
-    (128 bits over `content`). With `number` the number is the content, its 64 bits are the hash, and sides whose
+    (64 bits over `content`, compared for equal keys only). Where scopes list at most SLOTS snapshots, a row isn't doubled for the two pairs it belongs to: its side is a column of the
+    aggregate. With `number` the number is the content, its 64 bits are the hash, and sides whose
     finite numbers agree within TOLERANCE are unchanged; two nulls or two NaNs are the same. Rows whose scope or snapshot isn't listed, or null, belong to no pair. A null key is a key like
-    any other. Returned: scope, keys, snapshot (the later one) and change; extra columns of rows
+    any other; of unequal rows that tie in `delivered` one counts. Returned: scope, keys, snapshot (the later one) and change; extra columns of rows
     are ignored, an empty table gives no rows.
     """
-    # the pair's later snapshot and the side; one row of a snapshot serves as the later and as the earlier side
-    narrow = rows.select(
-        F.col(scope),
-        F.col(snapshot),
-        *keys,
-        _at(delivered).alias("__at"),
-        *([F.col(number).cast("double").alias("__v")] if number else [F.xxhash64(*content).alias("__h1"), F.xxhash64(F.lit("second"), *content).alias("__h2")]),
-    )
-    hashes = ["__v"] if number else ["__h1", "__h2"]
-    tagged = (
-        spread_join(narrow, snapshot_pairs(listing, scope, snapshot), [scope, snapshot])
-        .withColumn("__s", F.explode("sides"))
-        .select(scope, *keys, "__at", *hashes, F.col("__s.pair").alias("__pair"), F.col("__s.side").alias("__side"))
-    )
-    last = lambda c, n: F.max_by(c, F.when(F.col("__side") == n, F.col("__at")))
-    sides = tagged.groupBy(scope, *keys, "__pair").agg(
-        F.max("__side").alias("__new"),
-        F.min("__side").alias("__old"),
-        *[last(c, n).alias(f"{c}_{n}") for n in (0, 1) for c in hashes],
-    )
-    same = reduce(lambda a, b: a & b, [F.col(f"{c}_0").eqNullSafe(F.col(f"{c}_1")) for c in hashes])
+    value = F.col(number).cast("double") if number else F.xxhash64(*content)
+    narrow = rows.select(F.col(scope), F.col(snapshot), *keys, _at(delivered).alias("__at"), value.alias("__v"))
+    listed = listed_snapshots(listing, scope, snapshot)
+    most = listed.agg(F.max("__i")).first()[0] or 0
+    if most > SLOTS:
+        return _by_pair(narrow, listing, scope, snapshot, keys, number is not None)
+    placed = spread_join(narrow, listed, [scope, snapshot])
+    at = lambda i: F.when(F.col("__i") == i, F.col("__at"))
+    slots = [a for i in range(1, most + 1) for a in (F.max(at(i)).alias(f"__at_{i}"), F.max_by("__v", at(i)).alias(f"__v_{i}"))]
+    sides = placed.groupBy(scope, *keys).agg(F.max("__n").alias("__n"), *slots)
+    pair = lambda i: F.struct(F.lit(i).alias("__i"), _change(F.col(f"__at_{i - 1}").isNotNull(), F.col(f"__at_{i}").isNotNull(), F.col(f"__v_{i - 1}"), F.col(f"__v_{i}"), number is not None).alias("change"))
+    pairs = [F.when(F.col("__n") >= i, pair(i)) for i in range(2, most + 1)] or [F.lit(None).cast("struct<__i:int,change:string>")]
+    found = sides.select(scope, *keys, F.explode(F.array(*pairs)).alias("__p")).where("__p.change IS NOT NULL").select(scope, *keys, "__p.__i", "__p.change")
+    return spread_join(found, listed.select(scope, "__i", snapshot), [scope, "__i"]).select(scope, *keys, snapshot, "change")
+
+
+def _change(old: Column, new: Column, a: Column, b: Column, number: bool) -> Column:
+    """What happened to a record that is there (old, new) with contents a and b; null if nothing did."""
+    same = a.eqNullSafe(b)
     if number:
-        a, b = F.col("__v_0"), F.col("__v_1")
         finite = (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
         near = F.abs(a - b) <= TOLERANCE * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
         same = same | F.coalesce(finite & near, F.lit(False))
-    change = F.when(F.col("__old") == 1, "added").when(F.col("__new") == 0, "removed").when(~same, "changed")
+    return F.when(~old & new, "added").when(old & ~new, "removed").when(old & new & ~same, "changed")
+
+
+def _by_pair(narrow: DataFrame, listing: DataFrame, scope: str, snapshot: str, keys: Sequence[str], number: bool) -> DataFrame:
+    """The same for histories of any length: each row is tagged once as the later and once as the earlier side of its pairs."""
+    tagged = (
+        spread_join(narrow, snapshot_pairs(listing, scope, snapshot), [scope, snapshot])
+        .withColumn("__s", F.explode("sides"))
+        .select(scope, *keys, "__at", "__v", F.col("__s.pair").alias("__pair"), F.col("__s.side").alias("__side"))
+    )
+    last = lambda n: F.max_by("__v", F.when(F.col("__side") == n, F.col("__at")))
+    sides = tagged.groupBy(scope, *keys, "__pair").agg(F.max("__side").alias("__new"), F.min("__side").alias("__old"), last(0).alias("__v_0"), last(1).alias("__v_1"))
+    change = _change(F.col("__old") == 0, F.col("__new") == 1, F.col("__v_0"), F.col("__v_1"), number)
     return sides.select(scope, *keys, F.col("__pair").alias(snapshot), change.alias("change")).where("change IS NOT NULL")

@@ -1,14 +1,23 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from orefold.operators import snapshots
 from orefold.operators.snapshots import current_rows, snapshot_changes, untagged
 
 T = lambda d: dt.datetime(2031, 1, d)
 SCHEMA = "p string, s int, k string, v double, h string, delivered_at timestamp, change string"
 
 
+@pytest.fixture(params=["sides as columns", "rows by pair"], autouse=True)
+def either_way(request, monkeypatch):
+    """Short and long histories have the same results."""
+    if request.param == "rows by pair":
+        monkeypatch.setattr(snapshots, "SLOTS", 0)
+
+
 def changes(spark, data, listed=(("a", 1), ("a", 2)), **kw):
     listing = spark.createDataFrame(list(listed), "p string, s int")
     kw = kw or {"number": "v"}
