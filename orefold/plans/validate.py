@@ -19,7 +19,7 @@ def _found(df: DataFrame, artifact: str, rule: str, detail: Column) -> DataFrame
 
 def node_violations(nodes: DataFrame) -> DataFrame:
     """Missing properties, unknown kinds and stabilities, and ids that occur more than once."""
-    bad = F.col("id").isNull() | F.col("kind").isNull() | F.col("name").isNull() | ~F.coalesce(F.col("kind").isin(*KINDS.values()), F.lit(False)) | ~F.coalesce(F.col("target_id_stability").isin(*_STABILITIES), F.lit(False))
+    bad = F.col("id").isNull() | F.col("kind").isNull() | F.col("name").isNull() | ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)) | ~F.coalesce(F.col("target_id_stability").isin(*_STABILITIES), F.lit(False))
     twice = duplicate_keys(nodes.where("id IS NOT NULL"), [RUN, "id"])
     return _found(nodes.where(bad), "graph", "node schema", F.col("id")).unionByName(_found(twice, "graph", "duplicate node", F.col("id")))
 
