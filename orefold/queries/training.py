@@ -94,12 +94,21 @@ def p5_casts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
-    edges, metrics, chunks = (_t(spark, d, t) for t in REF_TABLES)
+    """The state after two deliveries: what had come by the middle of the nodes' delivery times, then the rest, which brings late parents and references."""
+    tables = {t: _t(spark, d, t) for t in ("graph_nodes", *REF_TABLES)}
+    ends = F.unix_micros(F.col("delivered_at").cast("timestamp"))
+    middle = tables["graph_nodes"].agg(((F.min(ends) + F.max(ends)) / 2).cast("bigint")).first()[0] or 0
+    first = F.coalesce(ends < middle, F.lit(False))
     at = lambda df, c: df.select(F.col(c).alias("id"), F.col("snapshot_no").alias("period"))
-    ends = edges.select(F.explode(F.array("from_id", "to_id")).alias("id"), F.col("snapshot_no").alias("period"))
-    related = chunks.select(F.explode("related_target_ids").alias("id"), F.col("snapshot_no").alias("period"))
-    refs = {"graph_edges": [ends], "metrics": [at(metrics, "target_id")], "chunks": [related]}
-    return references.deliveries(at(_t(spark, d, "graph_nodes"), "id"), refs, REF_TABLES)
+    state = None
+    for these in (first, ~first):
+        edges, metrics, chunks, nodes = (tables[t].where(these) for t in (*REF_TABLES, "graph_nodes"))
+        ends_of = edges.select(F.explode(F.array("from_id", "to_id")).alias("id"), F.col("snapshot_no").alias("period"))
+        related = chunks.select(F.explode("related_target_ids").alias("id"), F.col("snapshot_no").alias("period"))
+        refs = {"graph_edges": [ends_of], "metrics": [at(metrics, "target_id")], "chunks": [related]}
+        delivered = references.deliveries(at(nodes, "id"), refs, REF_TABLES)
+        state = materialize(delivered, "orphans") if state is None else references.advance(state, delivered)
+    return state
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
