@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefold.catalog import CONTRACT_VERSION, METRICS, catalog_frame
@@ -97,12 +97,12 @@ def merged_tags(rows: DataFrame, keys: Sequence[str], tags: str) -> DataFrame:
     return merged.withColumn(tags, F.when(F.size(tags) > 0, F.col(tags)))
 
 
-def distinct_degrees(edges: DataFrame, nodes: DataFrame, node: str, source: str = "from_id", target: str = "to_id") -> DataFrame:
-    """fan_out and fan_in of every node by distinct partners; 0 for nodes without any."""
-    pairs = edges.select(source, target).distinct()
-    ends = pairs.select(F.col(source).alias(node), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(pairs.select(F.col(target).alias(node), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    counted = ends.groupBy(node).agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
-    return zero_filled(nodes.select(node).distinct(), [node], counted, ["fan_out", "fan_in"])
+def distinct_degrees(edges: DataFrame, nodes: DataFrame, node: str, source: str = "from_id", target: str = "to_id", keys: Sequence[str] = ()) -> DataFrame:
+    """The rows of nodes with fan_out and fan_in by distinct partners within keys; 0 for nodes without any. Edges go through one shuffle besides that of telling them apart."""
+    pairs = edges.select(*keys, source, target).distinct()
+    end = lambda c, o, i: F.struct(F.col(c).alias(node), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    counted = pairs.select(*keys, F.inline(F.array(end(source, 1, 0), end(target, 0, 1)))).groupBy(*keys, node).agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
+    return zero_filled(nodes, [*keys, node], counted, ["fan_out", "fan_in"])
 
 
 def lifted_edges(edges: DataFrame, parents: DataFrame, child: str, parent: str, source: str = "from_id", target: str = "to_id") -> DataFrame:
@@ -113,11 +113,11 @@ def lifted_edges(edges: DataFrame, parents: DataFrame, child: str, parent: str,
     return both.where(F.col("__p") != F.col(parent)).select(F.col("__p").alias(source), F.col(parent).alias(target)).distinct()
 
 
-def with_known_ends(edges: DataFrame, nodes: DataFrame, node: str, source: str = "from_id", target: str = "to_id") -> DataFrame:
-    """Edges of which both ends are nodes."""
-    ids = nodes.select(node).distinct()
-    kept = edges.join(ids.withColumnRenamed(node, source), source, "left_semi")
-    return kept.join(ids.withColumnRenamed(node, target), target, "left_semi")
+def with_known_ends(edges: DataFrame, nodes: DataFrame, node: str, source: str = "from_id", target: str = "to_id", keys: Sequence[str] = ()) -> DataFrame:
+    """Edges of which both ends are nodes, within keys."""
+    ids = nodes.select(*keys, node).distinct()
+    kept = edges.join(ids.withColumnRenamed(node, source), [*keys, source], "left_semi")
+    return kept.join(ids.withColumnRenamed(node, target), [*keys, target], "left_semi")
 
 
 def dangling(rows: DataFrame, keys: Sequence[str], parents: DataFrame) -> DataFrame:
@@ -145,16 +145,29 @@ def longest_prefix(paths: DataFrame, path: str, prefixes: DataFrame, prefix: str
     return paths.join(best, path, "left")
 
 
+def threshold_gaps(values: DataFrame, limits: DataFrame, on: Sequence[str], by: Sequence[str], value: str, also: Sequence[Column] = ()) -> DataFrame:
+    """`gap`, the weighted excess over the limits (on, maximum, weight), per group of `by`; `also` are further aggregates of a group's rows."""
+    over = F.greatest(F.lit(0.0), F.col(value) - F.col("maximum")) * F.col("weight")
+    return values.join(limits, list(on)).groupBy(*by).agg(F.sum(over).alias("gap"), *also)
+
+
+def gap_totals() -> list[Column]:
+    """Aggregates of gaps: gap_sum, squared_gap_sum, violating_targets and max_target_gap."""
+    return [
+        F.coalesce(F.sum("gap"), F.lit(0.0)).alias("gap_sum"), F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)).alias("squared_gap_sum"),
+        F.count_if(F.col("gap") > 0).alias("violating_targets"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("max_target_gap"),
+    ]
+
+
 def threshold_debt(values: DataFrame, limits: DataFrame, target: str = "target_id", metric: str = "metric_id", value: str = "value", by: Sequence[str] = ()) -> DataFrame:
-    """One row, or one per group of `by`: gap_sum, squared_gap_sum, violating_targets and max_target_gap of the targets' weighted excess over the limits (metric, maximum, weight)."""
-    gaps = values.join(limits, metric).select(*by, target, (F.greatest(F.lit(0.0), F.col(value) - F.col("maximum")) * F.col("weight")).alias("gap"))
-    per_target = gaps.groupBy(*by, target).agg(F.sum("gap").alias("gap"))
-    return per_target.groupBy(*by).agg(
-        F.coalesce(F.sum("gap"), F.lit(0.0)).alias("gap_sum"),
-        F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)).alias("squared_gap_sum"),
-        F.count_if(F.col("gap") > 0).alias("violating_targets"),
-        F.coalesce(F.max("gap"), F.lit(0.0)).alias("max_target_gap"),
-    )
+    """One row, or one per group of `by`: gap_totals of the targets' weighted excess over the limits (metric, maximum, weight)."""
+    return threshold_gaps(values, limits, [metric], [*by, target], value).groupBy(*by).agg(*gap_totals())
+
+
+def top_ranked(rows: DataFrame, order: Sequence[Column], most: int, out: str = "rank_no") -> DataFrame:
+    """The first `most` rows in a total order, numbered: each task keeps its own first ones, so nothing is ranked or sorted as a whole."""
+    first = rows.orderBy(*order).limit(most)
+    return first.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def population_hash(rows: DataFrame, keys: Sequence[str], path: str) -> DataFrame:

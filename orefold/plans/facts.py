@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefold import schemas
@@ -17,7 +17,7 @@ from orefold.frontend.declarations import parse_file
 from orefold.frontend.lexer import duplication_tokens
 from orefold.functions import scalar as fn
 from orefold.operators import duplication
-from orefold.operators.relational import longest_prefix
+from orefold.operators.relational import first_per_group, longest_prefix
 from orefold.runtime import materialize
 
 RUN = "run_id"
@@ -176,8 +176,7 @@ def merge_types(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 def unique_files(facts: Facts) -> DataFrame:
     """One row per run and path, the first in encounter order."""
-    order = Window.partitionBy(RUN, "file_path").orderBy("seq", "target_id")
-    return facts.files.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    return first_per_group(facts.files, [RUN, "file_path"], ["seq", "target_id"])
 
 
 def project_memberships(facts: Facts) -> DataFrame:

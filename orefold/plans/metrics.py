@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orefold.catalog import METRICS
 from orefold.functions import scalar as fn
 from orefold.operators import graph, intervals
-from orefold.operators.relational import enriched, max_and_p95, union_all
+from orefold.operators.relational import distinct_degrees, enriched, max_and_p95, union_all, with_known_ends
 from orefold.plans.facts import RUN, Facts, only_trusted, project_memberships, unique_files
 
 TARGET = (RUN, "target_kind", "target_id", "target_id_stability", "file_path", "start_line", "end_line")
@@ -136,7 +136,7 @@ def type_dependencies(facts: Facts) -> DataFrame:
     types = facts.types.select(RUN, F.col("target_id").alias("id")).distinct()
     owners = facts.members.select(RUN, F.col("target_id").alias("id"), F.col("parent_type_target_id").alias("owner")).unionByName(types.withColumn("owner", F.col("id"))).distinct()
     lifted = edges.join(owners.withColumnRenamed("id", "from_id"), [RUN, "from_id"]).select(RUN, F.col("owner").alias("from_id"), "to_id")
-    both = lifted.where("from_id <> to_id").join(types.withColumnRenamed("id", "to_id"), [RUN, "to_id"], "left_semi").join(types.withColumnRenamed("id", "from_id"), [RUN, "from_id"], "left_semi")
+    both = with_known_ends(lifted.where("from_id <> to_id"), types, "id", keys=[RUN])
     return both.select(RUN, "from_id", "to_id").distinct()
 
 
@@ -150,10 +150,7 @@ def namespace_dependencies(facts: Facts) -> DataFrame:
 
 def _degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """fan_out and fan_in per run and node."""
-    pairs = edges.select(RUN, "from_id", "to_id").distinct()
-    ends = pairs.select(RUN, F.inline(F.array(F.struct(F.col("from_id").alias("target_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("target_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
-    counted = ends.groupBy(RUN, "target_id").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
-    return nodes.join(counted, [RUN, "target_id"], "left").na.fill(0, ["fan_out", "fan_in"])
+    return distinct_degrees(edges, nodes, "target_id", keys=[RUN])
 
 
 def _cycles(edges: DataFrame, nodes: DataFrame, reach: bool) -> DataFrame:
@@ -177,7 +174,7 @@ def graph_metrics(facts: Facts) -> DataFrame:
     )
     ids = members.select(RUN, "target_id").distinct()
     calls = facts.edges.where("kind = 'calls'").select(RUN, "from_id", "to_id").distinct()
-    calls = calls.join(ids.withColumnRenamed("target_id", "from_id"), [RUN, "from_id"], "left_semi").join(ids.withColumnRenamed("target_id", "to_id"), [RUN, "to_id"], "left_semi").select(RUN, "from_id", "to_id")
+    calls = with_known_ends(calls, ids, "target_id", keys=[RUN]).select(RUN, "from_id", "to_id")
     of_members = _long(
         _degrees(calls, members).join(_cycles(calls, members, False), [RUN, "target_id"]),
         {"distinct_outgoing_callee_count": F.col("fan_out"), "distinct_incoming_caller_count": F.col("fan_in"), "recursive_component_size": F.col("cyclic_size")},
@@ -191,7 +188,7 @@ def graph_metrics(facts: Facts) -> DataFrame:
     projects = _scope(analyzed.withColumn("target_id", fn.project_id(F.col("project_path"))), "project", F.col("project_path"))
     known = projects.select(RUN, "target_id")
     refs = facts.project_deps.select(RUN, fn.project_id(F.col("from_project_path")).alias("from_id"), fn.project_id(F.col("to_project_path")).alias("to_id")).distinct()
-    refs = refs.join(known.withColumnRenamed("target_id", "from_id"), [RUN, "from_id"], "left_semi").join(known.withColumnRenamed("target_id", "to_id"), [RUN, "to_id"], "left_semi").select(RUN, "from_id", "to_id")
+    refs = with_known_ends(refs, known, "target_id", keys=[RUN]).select(RUN, "from_id", "to_id")
     # a namespace's own row takes the place of its first declaration
     d = F.col("declarations")[0]
     namespaces = facts.namespaces.withColumns({"target_kind": F.lit("namespace"), "target_id_stability": F.lit("syntax_fallback"), "file_path": d["file_path"], "start_line": d["start_line"], "end_line": d["end_line"]})

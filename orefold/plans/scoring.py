@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from orefold.catalog import CONTRACT_VERSION
 from orefold.functions.scalar import paths_selected
+from orefold.operators.relational import gap_totals, threshold_gaps
 
 TARGET_KINDS = ("file", "type", "member", "project", "namespace")
 MODES = ("syntax", "semantic", "partial_semantic")
 STABILITIES = ("semantic", "syntax_fallback", "line_fallback")
-OUTPUTS = ("gapSum", "squaredGapSum", "violatingTargetCount", "maxTargetGap")
+#: Names of the outputs on the wire and of their columns.
+OUTPUTS = {"gapSum": "gap_sum", "squaredGapSum": "squared_gap_sum", "violatingTargetCount": "violating_targets", "maxTargetGap": "max_target_gap"}
 
 
 class InvalidProfile(ValueError):
@@ -213,17 +215,13 @@ def evaluate(profile: Profile, metrics: DataFrame, nodes: DataFrame, health: dic
                 raise InvalidProfile(f"metric {t.metric_id}@{t.metric_version} {list(t.tags)} isn't available for {op.target_kind}")
         limits = metrics.sparkSession.createDataFrame([(t.metric_id, t.metric_version, "\0".join(t.tags), t.maximum, t.weight, i) for i, t in enumerate(op.thresholds)], "metric_id string, metric_version string, __tags string, maximum double, weight double, place int")
         of_kind = tagged.where(F.col("target_kind") == op.target_kind)
-        joined = of_kind.join(F.broadcast(limits), ["metric_id", "metric_version", "__tags"])  # the profile's thresholds
-        per = joined.groupBy("target_id").agg(
-            F.count("*").alias("rows"), F.count_distinct("place").alias("places"), F.count("numeric_value").alias("numbers"), F.min("file_path").alias("p0"), F.max("file_path").alias("p1"),
-            F.sum(F.greatest(F.lit(0.0), F.col("numeric_value") - F.col("maximum")) * F.col("weight")).alias("gap"),
-        )
+        checks = [F.count("*").alias("rows"), F.count_distinct("place").alias("places"), F.count("numeric_value").alias("numbers"), F.min("file_path").alias("p0"), F.max("file_path").alias("p1")]
+        per = threshold_gaps(of_kind, F.broadcast(limits), ["metric_id", "metric_version", "__tags"], ["target_id"], "numeric_value", checks)  # the profile's thresholds
         targets = of_kind.select("target_id").distinct().join(per, "target_id", "left")
         k = len(op.thresholds)
         r = targets.agg(
             F.count("*").alias("targets"), F.count_if((F.coalesce("places", F.lit(0)) != k) | (F.coalesce("numbers", F.lit(0)) != F.coalesce("rows", F.lit(0)))).alias("lacking"), F.count_if(F.col("rows") > k).alias("twice"),
-            F.count_if(F.col("p0") != F.col("p1")).alias("moved"), F.coalesce(F.sum("gap"), F.lit(0.0)).alias("gapSum"), F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)).alias("squaredGapSum"),
-            F.count_if(F.col("gap") > 0).alias("violatingTargetCount"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("maxTargetGap"),
+            F.count_if(F.col("p0") != F.col("p1")).alias("moved"), *gap_totals(),
         ).first()
         if r.targets < profile.min_targets:
             raise PreconditionsNotMet(f"operations[{n}] selects {r.targets} targets, fewer than {profile.min_targets}")
@@ -232,8 +230,8 @@ def evaluate(profile: Profile, metrics: DataFrame, nodes: DataFrame, health: dic
         if r.lacking:
             raise InvalidArtifacts(f"{r.lacking} targets of operations[{n}] lack a metric of its thresholds")
         for o in OUTPUTS:
-            values[op.outputs[o]] = float(r[o])
-            _finite(float(r[o]), n)
+            values[op.outputs[o]] = float(r[OUTPUTS[o]])
+            _finite(float(r[OUTPUTS[o]]), n)
         provenance.append({"index": n, "operation": "thresholdDebt", "inputs": [f"{t.metric_id}@{t.metric_version}" for t in op.thresholds], "outputs": [op.outputs[o] for o in OUTPUTS], "targetKind": op.target_kind, "selectedTargetCount": r.targets})
     return {"profile": f"{profile.id}@{profile.version}", "values": dict(sorted(values.items())), "primary": {"key": profile.primary[0], "direction": profile.primary[1], "value": values[profile.primary[0]]}, "provenance": provenance}
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefold.catalog import CONTRACT_VERSION, KINDS
-from orefold.operators.relational import duplicate_keys, union_all, value_violations
+from orefold.operators.relational import dangling, duplicate_keys, union_all, value_violations
 from orefold.plans.facts import RUN
 
 _EDGE_KINDS = ("declares", "contains", "depends_on", "inherits", "implements", "uses_type", "calls")
@@ -29,7 +29,7 @@ def edge_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     bad = F.col("from_id").isNull() | F.col("to_id").isNull() | ~F.coalesce(F.col("kind").isin(*_EDGE_KINDS), F.lit(False))
     ids = nodes.select(RUN, "id").where("id IS NOT NULL").distinct()
     ends = edges.select(RUN, F.explode(F.array("from_id", "to_id")).alias("id")).where("id IS NOT NULL").distinct()
-    return _found(edges.where(bad), "graph", "edge schema", F.concat_ws(" ", "from_id", "kind", "to_id")).unionByName(_found(ends.join(ids, [RUN, "id"], "left_anti"), "graph", "missing edge end", F.col("id")))
+    return _found(edges.where(bad), "graph", "edge schema", F.concat_ws(" ", "from_id", "kind", "to_id")).unionByName(_found(dangling(ends, [RUN, "id"], ids), "graph", "missing edge end", F.col("id")))
 
 
 def target_violations(rows: DataFrame, nodes: DataFrame, artifact: str) -> DataFrame:

@@ -132,7 +132,7 @@ n AS (SELECT DISTINCT id FROM graph_nodes WHERE kind = 'member'), d AS (SELECT D
 SELECT n.id AS id, (SELECT count(*) FROM d WHERE from_id = n.id) AS fan_out, (SELECT count(*) FROM d WHERE to_id = n.id) AS fan_in FROM n""")
 def fan_out_in(spark, d):
     edges = _t(spark, d, "graph_edges").where("kind = 'calls' AND from_id IS NOT NULL AND to_id IS NOT NULL")
-    return rel.distinct_degrees(edges, _t(spark, d, "graph_nodes").where("kind = 'member'"), "id")
+    return rel.distinct_degrees(edges, _t(spark, d, "graph_nodes").where("kind = 'member'").select("id").distinct(), "id")
 
 
 @query("""WITH e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey)
@@ -223,7 +223,7 @@ s AS (SELECT kind, id, round(sum(pct * weight) / sum(weight), 6) AS score FROM p
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, kind, id) AS rank_no FROM s)"""
 
 
-def _rank(spark, d):
+def _scored(spark, d):
     c = lambda df, kind, pre, key, metric, v: df.select(F.lit(kind).alias("kind"), F.concat(F.lit(pre), key).alias("id"), F.lit(metric).alias("metric"), F.col(v).cast("double").alias("v"))
     orders = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     part = _t(spark, d, "part")
@@ -234,18 +234,20 @@ def _rank(spark, d):
     weights = spark.createDataFrame([("supplier", "balance", 1.0), ("customer", "balance", 0.3), ("customer", "orders", 0.7), ("part", "price", 0.75), ("part", "size", 0.25)], "kind string, metric string, weight double")
     weighted = long.join(F.broadcast(weights), ["kind", "metric"])  # five rows
     pct = rel.ecdf(weighted, ["kind", "metric"], "v").withColumn("percentile", F.round("percentile", 6))
-    scored = pct.groupBy("kind", "id").agg(F.round(F.sum(F.col("percentile") * F.col("weight")) / F.sum("weight"), 6).alias("score"))
-    return rel.global_rank(scored, [-F.col("score"), F.col("kind"), F.col("id")])
+    return pct.groupBy("kind", "id").agg(F.round(F.sum(F.col("percentile") * F.col("weight")) / F.sum("weight"), 6).alias("score"))
+
+
+_BY_SCORE = lambda: [-F.col("score"), F.col("kind"), F.col("id")]
 
 
 @query(_RANK_SQL + " SELECT kind, id, score, rank_no FROM r")
 def hotspot_rank(spark, d):
-    return _rank(spark, d)
+    return rel.global_rank(_scored(spark, d), _BY_SCORE())
 
 
 @query(_RANK_SQL + " SELECT kind, id, score, rank_no FROM r WHERE score > 0 ORDER BY rank_no LIMIT 20")
 def hotspot_topk(spark, d):
-    return _rank(spark, d).where("score > 0").orderBy("rank_no").limit(20)
+    return rel.top_ranked(_scored(spark, d).where("score > 0"), _BY_SCORE(), 20)
 
 
 # duplication
@@ -410,27 +412,17 @@ def summary_counts(spark, d):
 
 # scoring
 
+#: The debt of every snapshot over all finite values.
 _DEBT_SQL = """WITH lim(metric_id, maximum, weight) AS (VALUES ('cyclomatic_complexity', 10.0::DOUBLE, 2.0::DOUBLE), ('member_length', 60.0::DOUBLE, 1.0::DOUBLE)),
-g AS (SELECT target_id, sum(greatest(0.0::DOUBLE, numeric_value - maximum) * weight) AS gap FROM (SELECT DISTINCT target_id, metric_id, snapshot_no, numeric_value FROM metrics WHERE snapshot_no = 5 AND coalesce(len(tags), 0) = 0 AND isfinite(numeric_value) AND numeric_value = trunc(numeric_value)) m JOIN lim ON lim.metric_id = m.metric_id GROUP BY 1),
-r AS (SELECT sum(gap) AS gap_sum, sum(gap * gap) AS squared_gap_sum, count(*) FILTER (gap > 0) AS violating_targets, max(gap) AS max_target_gap FROM g)"""
-
-
-#: The debt of every snapshot over all finite values; _DEBT_SQL is that of whole values in snapshot 5 alone.
-_DEBTS_SQL = """WITH lim(metric_id, maximum, weight) AS (VALUES ('cyclomatic_complexity', 10.0::DOUBLE, 2.0::DOUBLE), ('member_length', 60.0::DOUBLE, 1.0::DOUBLE)),
 g AS (SELECT snapshot_no, target_id, sum(greatest(0.0::DOUBLE, numeric_value - maximum) * weight) AS gap FROM (SELECT DISTINCT target_id, metric_id, snapshot_no, numeric_value FROM metrics WHERE coalesce(len(tags), 0) = 0 AND isfinite(numeric_value)) m JOIN lim ON lim.metric_id = m.metric_id GROUP BY 1, 2),
 r AS (SELECT snapshot_no, sum(gap) AS gap_sum, sum(gap * gap) AS squared_gap_sum, count(*) FILTER (gap > 0) AS violating_targets, max(gap) AS max_target_gap FROM g GROUP BY 1)"""
 
 
-def _debts(spark, d, which=None):
+def _debt(spark, d):
     limits = F.broadcast(spark.createDataFrame([("cyclomatic_complexity", 10.0, 2.0), ("member_length", 60.0, 1.0)], "metric_id string, maximum double, weight double"))  # two rows
     v = F.col("numeric_value")
     rows = _t(spark, d, "metrics").where((F.coalesce(F.size("tags"), F.lit(0)) <= 0) & fn.is_finite(v) & ~F.isnan(v))
-    rows = rows if which is None else rows.where(which)
-    return rel.threshold_debt(rows.select("snapshot_no", "target_id", "metric_id", v.alias("value")).distinct(), limits, by=["snapshot_no"] if which is None else [])
-
-
-def _debt(spark, d):
-    return _debts(spark, d, (F.col("snapshot_no") == 5) & (F.col("numeric_value") % 1 == 0))
+    return rel.threshold_debt(rows.select("snapshot_no", "target_id", "metric_id", v.alias("value")).distinct(), limits, by=["snapshot_no"])
 
 
 @query(_DEBT_SQL + " SELECT * FROM r")
@@ -438,19 +430,9 @@ def threshold_debt(spark, d):
     return _debt(spark, d)
 
 
-@query(_DEBT_SQL + " SELECT gap_sum + 0.001::DOUBLE * squared_gap_sum AS score FROM r")
+@query(_DEBT_SQL + " SELECT snapshot_no, gap_sum + 0.001::DOUBLE * squared_gap_sum AS score FROM r")
 def weighted_score(spark, d):
-    return _debt(spark, d).select((F.col("gap_sum") + F.col("squared_gap_sum") * 0.001).alias("score"))
-
-
-@query(_DEBTS_SQL + " SELECT * FROM r")
-def threshold_debt_by_snapshot(spark, d):
-    return _debts(spark, d)
-
-
-@query(_DEBTS_SQL + " SELECT snapshot_no, gap_sum + 0.001::DOUBLE * squared_gap_sum AS score FROM r")
-def weighted_score_by_snapshot(spark, d):
-    return _debts(spark, d).select("snapshot_no", (F.col("gap_sum") + F.col("squared_gap_sum") * 0.001).alias("score"))
+    return _debt(spark, d).select("snapshot_no", (F.col("gap_sum") + F.col("squared_gap_sum") * 0.001).alias("score"))
 
 
 # sets, unions, modes, json

@@ -14,6 +14,6 @@ def test_debt_by_snapshot_keeps_every_snapshot_and_fractions(spark, rows):
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["threshold_debt_by_snapshot", "weighted_score_by_snapshot", "threshold_debt", "weighted_score"])
+@pytest.mark.parametrize("name", ["threshold_debt", "weighted_score"])
 def test_debt_queries(spark, name):
     compare(spark, name, entry.queries(), entry.oracle_sql())
