@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -154,7 +155,7 @@ def _single_file(df: DataFrame, path: Path, order: list[str]) -> None:
     _write_lines(df.sort(*order), path)
 
 
-def write_artifacts(out: str, run: str, facts: Facts, metrics: DataFrame, hotspots: DataFrame, options: dict | None = None, started: float | None = None, include_text: bool = False) -> None:
+def write_artifacts(out: str, run: str, facts: Facts, metrics: DataFrame, hotspots: DataFrame, chosen: dict | None = None, started: float | None = None, include_text: bool = False) -> None:
     """The six files of one run in a new folder, the manifest last."""
     folder = Path(out)
     of = lambda df: df.where(F.col(RUN) == run).drop(RUN)
@@ -180,7 +181,7 @@ def write_artifacts(out: str, run: str, facts: Facts, metrics: DataFrame, hotspo
         f.write("]}\n")
     _single_file(of(chunks(facts, include_text)), folder / "chunks.ndjson", ["chunk_id"])
     last = F.lit(2147483647)
-    ordered = of(facts.diagnostics).withColumns({"__p": F.coalesce("file_path", F.lit("")), "__l": F.coalesce("start_line", last), "__q": F.coalesce("project_path", F.lit(""))}).sort("__p", "__l", "id", "__q", "message").drop("__p", "__l", "__q", "diag_id")
+    ordered = of(facts.diagnostics).withColumns({"__p": F.coalesce("file_path", F.lit("")), "__l": F.coalesce("start_line", last), "__q": F.coalesce("project_path", F.lit(""))}).sort("__p", "__l", "id", "__q", "message").drop("__p", "__l", "__q", "diag_id").withColumn("schema_version", F.lit(CONTRACT_VERSION))
     _write_lines(ordered, folder / "diagnostics.ndjson")
     ended = time.time()
     stamp = lambda t: time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(t))
@@ -189,7 +190,7 @@ def write_artifacts(out: str, run: str, facts: Facts, metrics: DataFrame, hotspo
     _json(
         folder / "manifest.json",
         {"schemaVersion": CONTRACT_VERSION, "tool": "orefold", "toolVersion": "0.1.0", "rootPath": facts.root_path, "startedAt": stamp(started), "completedAt": stamp(ended), "durationMs": max(0, int((ended - started) * 1000)), "mode": mode["mode"] if mode else "syntax",
-         "input": {"kind": "directory", "sourcePopulationSha256": hashed["source_population_sha256"] if hashed else None, "options": options or {}}, "artifacts": {n.split(".")[0]: n for n in FILES if n != "manifest.json"}},
+         "input": {"kind": "directory", "options": {}} | (chosen or {}) | {"sourcePopulationSha256": hashed["source_population_sha256"] if hashed else f"sha256:{hashlib.sha256().hexdigest()}"}, "artifacts": {n.split(".")[0]: n for n in FILES if n != "manifest.json"}},
     )
 
 

@@ -14,6 +14,9 @@ from orefold.catalog import CONTRACT_VERSION
 from orefold.functions.scalar import paths_selected
 from orefold.operators.relational import gap_totals, threshold_gaps
 
+#: Bytes a profile may have. A fixed value.
+MAX_PROFILE = 1 << 20
+
 TARGET_KINDS = ("file", "type", "member", "project", "namespace")
 MODES = ("syntax", "semantic", "partial_semantic")
 STABILITIES = ("semantic", "syntax_fallback", "line_fallback")

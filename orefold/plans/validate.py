@@ -68,6 +68,14 @@ def chunk_violations(chunks: DataFrame) -> DataFrame:
     return _found(chunks.where(bad), "chunks", "chunk schema", F.col("chunk_id")).unionByName(_found(duplicate_keys(chunks.where("chunk_id IS NOT NULL"), [RUN, "chunk_id"]), "chunks", "duplicate chunk", F.col("chunk_id")))
 
 
+def diagnostic_violations(diagnostics: DataFrame) -> DataFrame:
+    """Missing properties, unknown severities and impossible lines."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    known = F.coalesce(F.col("severity").isin("info", "warning", "error", "critical"), F.lit(False))
+    bad = blank("id") | blank("message") | ~known | (F.col("start_line") < 1) | (F.col("end_line") < 1) | (F.coalesce("schema_version", F.lit("")) != CONTRACT_VERSION)
+    return _found(diagnostics.where(F.coalesce(bad, F.lit(False))), "diagnostics", "diagnostic schema", F.concat_ws(" ", "id", "file_path"))
+
+
 def count_violations(summary: DataFrame, nodes: DataFrame, metrics: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Counts of the summary (long: run_id, name, n) that differ from the artifacts'."""
     kinds = nodes.where(F.col("kind").isin("project", "file", "type", "member")).groupBy(RUN, F.concat("kind", F.lit("_count")).alias("name")).agg(F.count("*").alias("actual"))
@@ -82,7 +90,7 @@ def violations(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, chunks: D
     return union_all(
         [
             node_violations(nodes), edge_violations(edges, nodes), metric_violations(metrics), chunk_violations(chunks), target_violations(metrics, nodes, "metrics"), target_violations(chunks, nodes, "chunks"),
-            count_violations(summary, nodes, metrics, diagnostics),
+            diagnostic_violations(diagnostics), count_violations(summary, nodes, metrics, diagnostics),
         ]
     )
 

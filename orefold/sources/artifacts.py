@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orefold import schemas
+from orefold.plans.contracts import MAX_DEPTH, depth
 from orefold.plans.reporting import _WIRE, camel
 
 #: Limits of one artifact. Fixed values.
-MAX_JSON, MAX_NDJSON = 128 << 20, 1 << 30
+MAX_JSON, MAX_NDJSON, MAX_LINE, MAX_LINES = 128 << 20, 1 << 30, 8 << 20, 1_000_000
 
 
 def _wire_type(t: T.DataType) -> T.DataType:
@@ -32,6 +33,14 @@ def check_size(spark: SparkSession, path: str, most: int) -> None:
         raise ValueError(f"{path} has a file of {longest} bytes; the limit is {most}")
 
 
+def check_lines(spark: SparkSession, path: str) -> None:
+    """An error if an NDJSON artifact has more bytes, characters in a line, or lines than the contract allows; one pass that keeps no text."""
+    check_size(spark, path, MAX_NDJSON)
+    seen = spark.read.text(path).agg(F.count("*").alias("lines"), F.coalesce(F.max(F.length("value")), F.lit(0)).alias("longest")).first()
+    if seen.lines > MAX_LINES or seen.longest > MAX_LINE:
+        raise ValueError(f"{path} has {seen.lines} lines of up to {seen.longest} characters; the limits are {MAX_LINES} and {MAX_LINE}")
+
+
 def content_hash(spark: SparkSession, path: str) -> DataFrame:
     """path and SHA-256 of each file, to tell whether a snapshot stayed as it was between two reads."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
@@ -39,6 +48,7 @@ def content_hash(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ndjson(spark: SparkSession, path: str, ddl: str, strict: bool = True) -> DataFrame:
     """Rows of an NDJSON artifact under our names; with strict, a line that doesn't fit is an error. Blank lines are skipped."""
+    check_lines(spark, path)
     own = _parse_ddl(ddl)
     rows = spark.read.schema(_wire_type(own)).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
     return rows.select(*[F.col(_WIRE.get(f.name, camel(f.name))).cast(f.dataType).alias(f.name) for f in own])
@@ -59,7 +69,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:
-    return read_ndjson(spark, path, schemas.DIAGNOSTICS)
+    return read_ndjson(spark, path, f"schema_version string, {schemas.DIAGNOSTICS}")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +85,9 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
-    """A small JSON document (manifest or summary)."""
+    """A small JSON document (manifest or summary); one that nests too deep is an error."""
     check_size(spark, path, MAX_JSON)
-    return json.loads(spark.read.text(path, wholetext=True).first().value)
+    document = json.loads(spark.read.text(path, wholetext=True).first().value)
+    if depth(document) > MAX_DEPTH:
+        raise ValueError(f"{path} nests deeper than {MAX_DEPTH}")
+    return document

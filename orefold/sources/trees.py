@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import shutil
 from pathlib import Path
@@ -55,17 +56,30 @@ def ambient_files(root: Path) -> list[Path]:
     return [d / n for d in root.resolve().parents for n in AMBIENT if (d / n).is_file()]
 
 
+def links(root: Path) -> list[str]:
+    """Relative paths of the links in a tree, whose excluded directories aren't entered."""
+    found = []
+    for folder, dirs, files in os.walk(root):
+        dirs[:] = [d for d in dirs if d.lower() not in EXCLUDED]
+        found += [Path(folder, n).relative_to(root).as_posix() for n in (*dirs, *files) if Path(folder, n).is_symlink()]
+    return found
+
+
 def scan(spark: SparkSession, root: str, pattern: str = "*.cs", include: list[str] | None = None, exclude: list[str] | None = None, generated: bool = False) -> DataFrame:
     """Files of a tree by relative path: file_path, length and content, without excluded directories, and without generated files unless asked for.
 
-    Only paths and lengths are read for the limits; a tree beyond them is an error, never cut.
+    Links of a local tree, to files or directories, aren't followed. Only paths and lengths are read for the limits; a tree beyond them is an error, never cut.
     """
-    base = Path(root).resolve()
-    uri = base.as_uri() if "://" not in root else root
+    local = "://" not in root
+    base = str(Path(root).resolve()) if local else root.rstrip("/")
+    uri = Path(base).as_uri() if local else base
+    linked = links(Path(base)) if local else []
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(uri)
-    relative = F.url_decode(F.replace(F.substring(F.regexp_replace("path", r"^file:/+", "/"), len(str(base)) + 2, 1 << 20), F.lit("+"), F.lit("%2B")))
+    relative = F.url_decode(F.replace(F.substring(F.regexp_replace("path", r"^file:/+", "/") if local else F.col("path"), len(base) + 2, 1 << 20), F.lit("+"), F.lit("%2B")))
     files = raw.withColumn("file_path", relative)
     keep = ~fn.in_excluded_directory(F.col("file_path")) & fn.glob_filter(F.col("file_path"), include or [], exclude or [])
+    if linked:  # driver's own listing of the tree, which has few links
+        keep = keep & ~F.exists(F.array(*map(F.lit, linked)), lambda p: (F.col("file_path") == p) | F.startswith(F.col("file_path"), F.concat(p, F.lit("/"))))
     files = files.where(keep if generated else keep & ~fn.is_generated(F.col("file_path")))
     n = files.select("file_path", "length").agg(
         F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"), F.coalesce(F.max("length"), F.lit(0)).alias("largest"), F.count_distinct(fn.directory(F.col("file_path"))).alias("dirs"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orefold import cli, schemas
 from orefold.engine import Engine
 from orefold.operators.relational import union_all
-from orefold.plans import diagnostics, hotspots, reporting, scoring, validate
+from orefold.plans import contracts, diagnostics, hotspots, reporting, scoring, validate
 from orefold.plans.facts import RUN, collect_facts, empty_facts
 from orefold.plans.metrics import all_metrics
 
@@ -133,6 +133,12 @@ def test_engine_end_to_end(spark, tmp_path):
     (root / "src/A.g.cs").write_text("class Generated { }")
     (root / "obj/B.cs").write_text("class Hidden { }")
     (root / "src/Shop.csproj").write_text('<Project><ItemGroup><ProjectReference Include="..\\Other\\Other.csproj" /></ItemGroup></Project>')
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere/Far.cs").write_text("class Far { }")
+    (root / "link").symlink_to(tmp_path / "elsewhere")
+    (root / "Link.cs").symlink_to(tmp_path / "elsewhere/Far.cs")
+    (root / "Other").mkdir()
+    (root / "Other/Other.csproj").write_text("<Project />")
     engine = Engine(spark)
     out = str(tmp_path / "out")
     summary = engine.run(str(root), out, include_text=True)
@@ -143,6 +149,8 @@ def test_engine_end_to_end(spark, tmp_path):
     chunk = next(json.loads(x) for x in open(f"{out}/chunks.ndjson") if '"file_header"' in x and "Adder" in x)
     assert chunk["text"] == "namespace Shop;\n\n/// <summary>Adds.</summary>"
     assert engine.validate(out).count() == 0
+    manifest = json.loads(open(f"{out}/manifest.json").read())
+    assert manifest["input"]["kind"] == "directory" and manifest["input"]["options"]["includeChunkText"] is True
     kept = str(tmp_path / "kept")
     shutil.copytree(out, kept)
     second = engine.run(str(root / "src/Shop.csproj"), out)  # replaces its own output
@@ -226,3 +234,24 @@ def test_diagnostics_and_health(spark, rows):
     assert sorted((r.message, r.kind) for r in diagnostics.reclassify(failures, log).collect()) == [("P.csproj: bad", "failure"), ("P.csproj: build: text", "warning"), ("other", "warning")]
     loads = spark.createDataFrame([("a", True, True, None, "msbuild", "success", []), ("b", True, False, None, "msbuild", "failed", []), ("c", False, False, "boom", "x", "x", []), ("d", False, False, None, "x", "x", [])], f"{RUN} string, used_semantic boolean, trust_diagnostics boolean, initialization_failure string, semantic_model string, restore_status string, messages array<string>")
     assert [(r.analysis_quality, r.semantic_model, r.restore_status, r.trusted_diagnostics) for r in diagnostics.health(loads).sort(RUN).collect()] == [("trusted", "msbuild", "success", True), ("degraded", "msbuild", "failed", False), ("degraded", "not_available", "not_run", False), ("syntax_only", "none", "not_run", False)]
+
+
+def test_documents_are_checked_against_their_shapes():
+    stamp, counts = "2031-01-01T00:00:00Z", {c: 0 for c in ("projectCount", "fileCount", "typeCount", "memberCount", "metricResultCount", "diagnosticCount")}
+    health = {"analysisQuality": "trusted", "semanticModel": "msbuild", "restoreStatus": "success", "buildStatus": "not_run", "trustedDiagnostics": True, "diagnosticsIncludedInHotspotRank": True, "messages": []}
+    summary = {"schemaVersion": "0.2.0", "rootPath": "/r", **counts, "analysisHealth": health, "hotspots": []}
+    assert list(contracts.problems(summary, contracts.SUMMARY, "summary")) == []
+    wrong = summary | {"fileCount": -1, "extra": 1, "analysisHealth": health | {"analysisQuality": "fine"}, "hotspots": [{"rankScore": 2}]}
+    found = list(contracts.problems(wrong, contracts.SUMMARY, "summary"))
+    assert {"summary.extra is unknown", "summary.fileCount isn't as it must be: -1", "summary.analysisHealth.analysisQuality isn't as it must be: 'fine'", "summary.hotspots[0] lacks targetId", "summary.hotspots[0].rankScore isn't as it must be: 2"} <= set(found)
+    assert "manifest lacks tool" in set(contracts.manifest_problems({"startedAt": stamp})) and "manifest.input lacks selectedPath" in set(contracts.manifest_problems({"input": {"kind": "project"}}))
+    assert contracts.depth([[{"a": [1]}]]) == 4 and contracts.depth(3) == 0
+
+
+def test_command_line(capsys):
+    for wrong in (["analyze", "."], ["analyze", ".", "-o", "x", "--top", "-1"], ["analyze", ".", "-o", "x", "--include", " "], ["nothing"]):
+        with pytest.raises(SystemExit) as e:
+            cli.main(wrong)
+        assert e.value.code == cli.INPUT_ERROR
+    assert cli.main(["analyze", ".", "-o", "x", "--semantic"]) == cli.INPUT_ERROR and cli.main(["help"]) == cli.OK
+    assert cli.main(["explain", "nothing"]) == cli.INPUT_ERROR and cli.main(["explain", "lines_of_code@1.0.0"]) == cli.OK
