@@ -195,11 +195,17 @@ def fact_diagnostic_metrics(spark, d):
     return rows.select(RUN, "target_kind", "target_id", F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tag"), "value")
 
 
-_WEIGHTS_SQL = ", ".join(f"('{kind}', '{m}', {w}::DOUBLE)" for kind, parts in hotspots.WEIGHTS.items() for m, w in parts)
-_RANKED = f""", w(kind, metric_id, weight) AS (VALUES {_WEIGHTS_SQL}),
+_WEIGHTS_SQL = ", ".join(f"('{kind}', '{m}', {w}::DOUBLE, {n})" for kind, parts in hotspots.WEIGHTS.items() for n, (m, w) in enumerate(parts))
+# rounded by the decimal text of a double, half away from zero; sums go in the order of the components, since the sixth digit may hang on it
+_SIX = "round(({})::VARCHAR::DECIMAL(38, 18), 6)::DOUBLE"
+_SUM = "list_reduce(list({} ORDER BY place), lambda a, b: a + b)"
+_RANKED = f""", w(kind, metric_id, weight, place) AS (VALUES {_WEIGHTS_SQL}),
 tgt AS (SELECT run_id, 'file' AS kind, id, 3 AS k FROM fil UNION ALL SELECT run_id, 'type', id, 2 FROM typ UNION ALL SELECT run_id, 'member', id, 1 FROM mem),
-pct AS (SELECT t.run_id, t.kind, t.id, weight, round(CASE WHEN v <= 0 THEN 0.0::DOUBLE ELSE cume_dist() OVER (PARTITION BY t.run_id, t.kind, w.metric_id ORDER BY v) END, 6) AS p FROM tgt t JOIN val ON val.run_id = t.run_id AND val.target_id = t.id JOIN w ON w.kind = t.kind AND w.metric_id = val.metric_id),
-sco AS (SELECT t.run_id, t.kind, t.id, t.k, round(coalesce(sum(p * weight) / sum(weight), 0), 6) AS score, count(p) AS parts FROM tgt t LEFT JOIN pct ON pct.run_id = t.run_id AND pct.kind = t.kind AND pct.id = t.id GROUP BY 1, 2, 3, 4),
+raw AS (SELECT t.run_id, t.kind, t.id, weight, place, CASE WHEN v <= 0 THEN 0.0::DOUBLE ELSE cume_dist() OVER (PARTITION BY t.run_id, t.kind, w.metric_id ORDER BY v) END AS p FROM tgt t JOIN val ON val.run_id = t.run_id AND val.target_id = t.id JOIN w ON w.kind = t.kind AND w.metric_id = val.metric_id),
+tot AS (SELECT run_id, kind, id, {_SUM.format("weight")} AS total FROM raw GROUP BY 1, 2, 3),
+pct AS (SELECT raw.run_id, raw.kind, raw.id, place, weight / total AS weight, {_SIX.format("p")} AS p FROM raw JOIN tot ON tot.run_id = raw.run_id AND tot.kind = raw.kind AND tot.id = raw.id),
+agg AS (SELECT run_id, kind, id, {_SUM.format("p * weight")} / {_SUM.format("weight")} AS score, count(*) AS parts FROM pct GROUP BY 1, 2, 3),
+sco AS (SELECT t.run_id, t.kind, t.id, t.k, coalesce({_SIX.format("score")}, 0) AS score, coalesce(parts, 0) AS parts FROM tgt t LEFT JOIN agg ON agg.run_id = t.run_id AND agg.kind = t.kind AND agg.id = t.id),
 ran AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, k, id) AS rank_no FROM sco)
 """
 
