@@ -93,6 +93,13 @@ def p5_casts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("feed", "file_seq", F.explode("failed_casts").alias("field")).groupBy("feed", "file_seq", "field").agg(F.count("*").alias("n"))
 
 
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each file in the consistent table, and how many have a value, or a failed cast, in the columns that go by several names."""
+    table = p5_table(spark, d).withColumn("failed", F.split("failed_casts", ","))
+    cells = [a for c in SPELLINGS for a in (F.count(c.replace(".", "_")).alias(f"{c.replace('.', '_')}_filled"), F.count_if(F.array_contains("failed", c)).alias(f"{c.replace('.', '_')}_failed"))]
+    return table.groupBy("artifact", "feed", "file_seq").agg(F.count("*").alias("n"), *cells)
+
+
 def _state(spark: SparkSession, d: str) -> DataFrame:
     """The state after two deliveries: what had come by the middle of the nodes' delivery times, then the rest, which brings late parents and references."""
     tables = {t: _t(spark, d, t) for t in ("graph_nodes", *REF_TABLES)}
@@ -120,7 +127,16 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_counts(references.orphans(_state(spark, d), REF_TABLES))
 
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_table": p5_table, "p5_casts": p5_casts, "p6_found": p6_found, "p6_counts": p6_counts}
+#: Names in the test tables, for the SQL of p5_filled alone: the operator finds them itself.
+SPELLINGS = {
+    "filePath": ("metrics.ndjson", "VARCHAR", "filePath", "location.filePath", "sourceFile", "path"), "metricVersion": ("metrics.ndjson", "VARCHAR", "metricVersion", "metric_version"),
+    "numericValue": ("metrics.ndjson", "DOUBLE", "numericValue", "numeric_value", "result.number", "value"), "startLine": ("metrics.ndjson", "INT", "startLine", "beginLine", "line_start", "location.startLine"),
+    "targetIdStability": ("metrics.ndjson", "VARCHAR", "targetIdStability", "idStability", "stability"), "targetKind": ("metrics.ndjson", "VARCHAR", "targetKind", "kind", "target.kind"),
+    "unit": ("metrics.ndjson", "VARCHAR", "unit", "measureUnit", "unitName"), "input.kind": ("manifest.json", "VARCHAR", "input.kind", "inputKind"), "rootPath": ("manifest.json", "VARCHAR", "rootPath", "input.root", "root"),
+    "toolVersion": ("manifest.json", "VARCHAR", "toolVersion", "build.release"),
+}
+
+QUERIES = {"p5_filled": p5_filled, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_table": p5_table, "p5_casts": p5_casts, "p6_found": p6_found, "p6_counts": p6_counts}
 
 _CURRENT_METRICS = """
 cur AS (SELECT project_key, target_id, metric_id, snapshot_no, any_value(numeric_value) AS v, any_value(target_kind) AS target_kind
@@ -194,8 +210,21 @@ UNION ALL SELECT d.feed, d.b, change, CASE WHEN change = 'added' THEN '' ELSE pa
 WHERE change IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ren WHERE ren.feed = d.feed AND ren.b = d.b AND ((change = 'removed' AND ren.x = d.path) OR (change = 'added' AND ren.y = d.path)))
 """
 
+
+
+def _filled_sql() -> str:
+    cells = []
+    for c, (artifact, kind, *names) in SPELLINGS.items():
+        text = f"CASE WHEN artifact = '{artifact}' THEN coalesce({', '.join(f"json_extract_string(j, '$.{n}')" for n in names)}) END"
+        out = c.replace(".", "_")
+        cells.append(f"count(try_cast({text} AS {kind})) AS {out}_filled, count({text}) - count(try_cast({text} AS {kind})) AS {out}_failed")
+    lines = "SELECT DISTINCT artifact, feed, file_seq, line_no, payload AS j FROM artifact_lines WHERE json_valid(payload)"
+    return f"SELECT artifact, feed, file_seq, count(*) AS n, {', '.join(cells)} FROM ({lines}) WHERE json_type(j) = 'OBJECT' GROUP BY 1, 2, 3"
+
+
 SQL = {
     "p5_found": _P5,
+    "p5_filled": _filled_sql(),
     "p3_found": _P3 + "SELECT artifact, record_id, snapshot_no, change FROM changes WHERE change IS NOT NULL",
     "p3_counts": _P3 + "SELECT artifact, project_key, snapshot_no, change, count(*) AS n FROM changes WHERE change IS NOT NULL GROUP BY 1, 2, 3, 4",
     "p6_found": _P6 + "SELECT ref_table, snapshot_no, target_id, state FROM found",
