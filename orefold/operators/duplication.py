@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from orefold.operators.intervals import covered, merged_islands
 from orefold.operators.relational import global_rank
-from orefold.runtime import materialize
 
 #: The reference thresholds: tokens of a window, and lines it must span.
 MIN_TOKENS, MIN_LINES = 100, 10
@@ -85,9 +84,8 @@ def repeated_windows(windows: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFr
     """Windows whose key occurs in another file, or in the same one at a distance of min_tokens or more.
 
     The extremes of file and position per key decide; they combine before the shuffle, so a key with very many occurrences is no hot
-    group, and the keys that repeat are joined back as distinct rows. Windows are written once, so that texts are read and hashed only once.
+    group, and the keys that repeat are joined back as distinct rows. Texts are hashed twice for it: writing a row per token costs more than that.
     """
-    windows = materialize(windows, "windows")
     per_key = windows.groupBy("k1", "k2").agg(F.min("file").alias("f0"), F.max("file").alias("f1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     several = per_key.where((F.col("f0") != F.col("f1")) | (F.col("p1") - F.col("p0") >= min_tokens))
     back = windows.join(several, ["k1", "k2"])

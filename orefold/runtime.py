@@ -86,18 +86,13 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bo
     return df, False
 
 
-def spread_join(big: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 32, most: int = BROADCAST_ROWS) -> DataFrame:
+def spread_join(big: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join many rows with a side that has one row per key, whatever the skew of the many.
 
-    The side is broadcast behind a check of its row count; beyond it every side row is repeated
-    for `salts` salts, so that one hot key is spread over as many tasks. how: inner, left or left_semi.
+    The side is broadcast behind a check of its row count. Beyond it both are shuffled, and the adaptive execution splits the partitions of hot keys over
+    several tasks, which needs no copies of the side (spark.sql.adaptive.skewJoin). how: inner, left or left_semi.
     """
-    hinted, small = small_side(side, most)
-    if small:
-        return big.join(hinted, list(on), how)
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(salts)).cast("int"))
-    repeated = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
+    return big.join(small_side(side, most)[0], list(on), how)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Sequence[str] = (), how: str = "inner") -> DataFrame:
