@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orefold.runtime import spread_join
+from orefold.runtime import BROADCAST_ROWS, spread_join
 
 #: Finite numbers a and b count as equal where |a - b| <= TOLERANCE * max(1, |a|, |b|).
 TOLERANCE = 1e-9
@@ -85,17 +85,19 @@ def snapshot_changes(
     value = F.col(number).cast("double") if number else F.xxhash64(*content)
     narrow = rows.select(F.col(scope), F.col(snapshot), *keys, _at(delivered).alias("__at"), value.alias("__v"))
     listed = listed_snapshots(listing, scope, snapshot)
-    most = listed.agg(F.max("__i")).first()[0] or 0
+    size = listed.agg(F.max("__i").alias("most"), F.count("*").alias("n")).first()
+    most = size.most or 0
     if most > SLOTS:
         return _by_pair(narrow, listing, scope, snapshot, keys, number is not None)
-    placed = spread_join(narrow, listed, [scope, snapshot])
+    side = F.broadcast if size.n <= BROADCAST_ROWS else lambda df: df  # checked by the count above
+    placed = narrow.join(side(listed), [scope, snapshot])
     at = lambda i: F.when(F.col("__i") == i, F.col("__at"))
     slots = [a for i in range(1, most + 1) for a in (F.max(at(i)).alias(f"__at_{i}"), F.max_by("__v", at(i)).alias(f"__v_{i}"))]
     sides = placed.groupBy(scope, *keys).agg(F.max("__n").alias("__n"), *slots)
     pair = lambda i: F.struct(F.lit(i).alias("__i"), _change(F.col(f"__at_{i - 1}").isNotNull(), F.col(f"__at_{i}").isNotNull(), F.col(f"__v_{i - 1}"), F.col(f"__v_{i}"), number is not None).alias("change"))
     pairs = [F.when(F.col("__n") >= i, pair(i)) for i in range(2, most + 1)] or [F.lit(None).cast("struct<__i:int,change:string>")]
     found = sides.select(scope, *keys, F.explode(F.array(*pairs)).alias("__p")).where("__p.change IS NOT NULL").select(scope, *keys, "__p.__i", "__p.change")
-    return spread_join(found, listed.select(scope, "__i", snapshot), [scope, "__i"]).select(scope, *keys, snapshot, "change")
+    return found.join(side(listed.select(scope, "__i", snapshot)), [scope, "__i"]).select(scope, *keys, snapshot, "change")
 
 
 def _change(old: Column, new: Column, a: Column, b: Column, number: bool) -> Column:
