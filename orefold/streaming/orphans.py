@@ -47,6 +47,18 @@ class OrphanStream:
         nxt = advance(None if before is None else self._read(before), delivered, rows.where("gone = 1").select("id", "period").distinct())
         nxt.write.mode("overwrite").parquet(f"{self.folder}/state-{batch}")
         self.last = batch
+        self._drop_before(before)
+
+    def _drop_before(self, number: int | None) -> None:
+        """Removes the states that no batch reads any more: those before the one that the batch just done would be run again from."""
+        if number is None:
+            return
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for f in fs.listStatus(path(self.folder)):
+            name = f.getPath().getName()
+            if name.startswith("state-") and name[6:].isdigit() and int(name[6:]) < number:
+                fs.delete(f.getPath(), True)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -27,3 +27,5 @@ def test_a_repeated_batch_and_an_incomplete_state(spark, rows, tmp_path):
     late = OrphanStream(spark, str(tmp_path / "state"), TABLES)
     late._batch(spark.createDataFrame([("x", 1, 1, 0)], ROWS), 3)
     assert rows(late.open_references()) == [("edges", 1, "y", "unknown")]
+    kept = {p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("state-") and (p / "_SUCCESS").exists()}
+    assert kept == {"state-1", "state-3"}  # what a repeated batch needs, and no more
